@@ -211,7 +211,7 @@ def train(texts: list[str], seed: int = 7, rounds: int = 70, rate: float = 0.12,
                 y[hit], y[hit[0]] = INSIDE, BEGIN
         stacked = np.stack([f[k] for k in SIZES])
         at = np.flatnonzero(y == BEGIN)
-        windows = [(max(0, i - 12), min(n, i + 12)) for i in at[:4]] + [(i, min(n, i + 24)) for i in rng.integers(0, n, 2)]
+        windows = [(max(0, i - 12), min(n, i + 12)) for i in at[:4]] + [(i, min(n, i + 24)) for i in rng.integers(0, n, 1)]
         for a, b in windows:
             seqs.append(stacked[:, a:b])
             tags.append(y[a:b])
@@ -273,7 +273,7 @@ def _marginals(em: np.ndarray, real: np.ndarray, moves: np.ndarray, start: np.nd
     return node, pair
 
 
-def templates(texts: list[str], rng: np.random.Generator, count: int = 1200) -> list[tuple[str, list[tuple[int, int]]]]:
+def templates(texts: list[str], rng: np.random.Generator, count: int = 700) -> list[tuple[str, list[tuple[int, int]]]]:
     """Texts with secrets of other forms, and with harmless look-alikes, amid words of the sample."""
     pool = [w for t in texts[:200] for w in t.split()[:60]] or "the of and to in a is that it for on was as with be by".split()
     lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -311,7 +311,7 @@ def templates(texts: list[str], rng: np.random.Generator, count: int = 1200) ->
 # --- on tables ------------------------------------------------------------
 
 #: The sample that the field is fitted on: so many documents, of so many characters at most.
-SAMPLE, SAMPLE_CHARS = 1500, 20_000
+SAMPLE, SAMPLE_CHARS = 1000, 20_000
 
 
 def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE, most_chars: int = SAMPLE_CHARS) -> Field:
