@@ -44,6 +44,12 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def others(columns: list[str], new: list[str], *more: str) -> list[str]:
+    """Columns that keep their places beside new ones: those of other names, in whatever case."""
+    taken = {c.lower() for c in (*new, *more)}
+    return [c for c in columns if c.lower() not in taken]
+
+
 def strings(batch: pa.RecordBatch, name: str | int) -> pa.Array:
     """A text column with nulls as empty texts."""
     col = batch.column(name)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens as tk
-from .common import raw, steps, strings
+from .common import others, raw, steps, strings
 
 BITS, RADIUS, THRESHOLD = 128, 36, 0.8
 #: Items that one pass searches for: what a task holds is bounded by this, not by the number of items.
@@ -185,7 +185,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, item_id: str = "item_id", item
     keep, by default all but text) and `item_id`, `similarity`, `leak_start` and
     `leak_end` (code points of the closest window). No shuffle."""
     new = ["item_id", "similarity", "leak_start", "leak_end"]
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in new and c != text]
+    kept = others(docs.columns if keep is None else keep, new, text)
     schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField("item_id", items.schema[item_id].dataType), T.StructField("similarity", T.DoubleType()), T.StructField("leak_start", T.LongType()), T.StructField("leak_end", T.LongType())])
 
     def search(part: pa.Table):

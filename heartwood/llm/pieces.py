@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import strings
+from .common import others, strings
 
 _SPACE = "▁".encode()
 
@@ -193,7 +193,7 @@ def encode_documents(docs: DataFrame, text: str = "text", keep: list[str] | None
     every machine; path resolution happens where the rows are.
     """
     new = ["piece_ids", "span_starts", "span_ends", "decoded"]
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
+    kept = others(docs.columns if keep is None else keep, new)
     fields = [f for f in docs.select(*kept).schema.fields]
     schema = T.StructType([*fields, *(T.StructField(n, T.BinaryType()) for n in new[:3]), T.StructField("decoded", T.StringType())])
 

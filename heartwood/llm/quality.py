@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold_of, strings
+from .common import fold_of, others, strings
 
 SAMPLE, SAMPLE_CHARS = 1200, 20_000
 DICT_BYTES, BLOCK, LEVEL = 112_640, 512, 3
@@ -122,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
     """docs' columns (those in keep, by default all) and the score, 0 to 1. One pass, no shuffle."""
-    kept = [c for c in (docs.columns if keep is None else keep) if c != name]
+    kept = others(docs.columns if keep is None else keep, [name])
     schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

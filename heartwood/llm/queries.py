@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, copies, decontam, maxent, pieces, quality, render, rules, secretscan
+from . import chat, copies, decontam, maxent, passages, pieces, quality, render, rules, secretscan
 from .common import fold_of, table
 
 
@@ -21,6 +21,11 @@ def op2_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.score(table(spark, sf_dir, "documents"))
 
 
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that repeat in documents."""
+    return passages.find_passages(table(spark, sf_dir, "documents"))
+
+
 def op4_render_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Laid-out text of pages."""
     out = render.render_pages(table(spark, sf_dir, "pages"), keep=["page_id"])
@@ -74,6 +79,6 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_maxent, op4_render_html, op5_quality, op6_outliers, op7_chat, op8_pieces, op9_near_copies, op10_secrets)
+    f.__name__: f for f in (op1_decontaminate, op2_maxent, op3_passages, op4_render_html, op5_quality, op6_outliers, op7_chat, op8_pieces, op9_near_copies, op10_secrets)
 }
 ORACLES: dict[str, str] = {}

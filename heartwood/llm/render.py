@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import strings
+from .common import others, strings
 
 DEPTH = 256
 _names = lambda s: frozenset(s.split())
@@ -412,7 +412,7 @@ def render(page: str) -> str:
 
 def render_pages(pages: DataFrame, html: str = "html", keep: list[str] | None = None, name: str = "page_text") -> DataFrame:
     """pages' columns (those in keep, by default all but html) and the laid-out text. One pass, no shuffle."""
-    kept = [c for c in (pages.columns if keep is None else keep) if c not in (name, html)]
+    kept = others(pages.columns if keep is None else keep, [name], html)
     schema = T.StructType([*pages.select(*kept).schema.fields, T.StructField(name, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import others, settle
 
 _GAP = r"[\x20\x09-\x0D]+"
 #: Transformed statistics and the least standard deviation that each is given.
@@ -58,7 +58,7 @@ def repeated_words(words: Column, k: int = 5) -> Column:
 def statistics(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns in keep (by default all but text) and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in new and c != text]
+    kept = others(docs.columns if keep is None else keep, new, text)
     body = F.coalesce(F.col(text), F.lit(""))
     words = F.array_remove(F.split(body, _GAP), "")
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -166,8 +166,8 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     shared folder, and the steps of the estimates run over them.
     """
     columns = docs.columns if keep is None else keep
-    kept = [c for c in columns if c != text]
-    own = docs.select(*[c for c in kept], F.col(lang).alias("__lang"), F.col(source).alias("__source"), F.col(text).alias("__text"))
+    kept = others(columns, ["distance", "kept", *NAMES], text)
+    own = docs.select(*kept, F.col(lang).alias("__lang"), F.col(source).alias("__source"), F.col(text).alias("__text"))
     stats = settle(vectors(statistics(own, "__text")))
     fair = stats.where(~F.col("base_failed") & F.col("x_length").isNotNull())
     sizes = settle(fair.groupBy("__lang", "__source").agg(F.count("*").alias("n")))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens as tk
-from .common import raw, steps, strings
+from .common import others, raw, steps, strings
 
 KINDS = ("assign", "access", "hex", "field")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -362,7 +362,7 @@ def find_secrets(docs: DataFrame, field: Field, text: str = "text", keep: list[s
     `n_hex`, `n_field`, `base_sha256`, `spans` and `redacted` text, in which each
     secret's own characters are replaced by mark. One pass, no shuffle."""
     new = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "redacted"]
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
+    kept = others(docs.columns if keep is None else keep, new)
     schema = T.StructType([*docs.select(*kept).schema.fields, *(T.StructField(c, T.LongType() if c[:2] == "n_" else T.StringType()) for c in new)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
