@@ -152,43 +152,51 @@ class Field(NamedTuple):
         return out
 
 
-def viterbi(scores: np.ndarray, moves: np.ndarray, start: np.ndarray, stop: np.ndarray) -> list[int]:
-    """The best path over one run; start and stop are added at its ends."""
-    best, back = scores[0] + start, []
-    for row in scores[1:]:
-        each = best[:, None] + moves
-        back.append(each.argmax(0))
-        best = each.max(0) + row
-    tag = int((best + stop).argmax())
-    path = [tag]
-    for b in reversed(back):
-        tag = int(b[tag])
-        path.append(tag)
-    return path[::-1]
+def viterbi(scores: np.ndarray, begin: np.ndarray, size: np.ndarray, moves: np.ndarray, head: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """The best tags of many runs of tokens at once, each [begin, begin + size); head and tail, a row per run, are added at its ends."""
+    tags = np.zeros(len(scores), np.int8)
+    order = np.argsort(-size, kind="stable")
+    begin, size = begin[order], size[order]
+    best = scores[begin] + head[order]
+    left = len(begin) - np.searchsorted(size[::-1], np.arange(int(size[0]) + 1), side="right")  # runs longer than each step
+    back = np.zeros((len(scores), 3), np.int8)
+    for t in range(1, int(size[0])):
+        k = left[t]
+        at = begin[:k] + t
+        each = best[:k, :, None] + moves
+        which = each.argmax(1)
+        back[at] = which
+        best[:k] = np.take_along_axis(each, which[:, None], 1)[:, 0] + scores[at]
+    tag = (best + tail[order]).argmax(1)
+    for t in range(int(size[0]) - 1, -1, -1):
+        k = left[t]
+        at = begin[:k] + t
+        tags[at] = tag[:k]
+        tag[:k] = back[at, tag[:k]]
+    return tags
 
 
 def decode(scores: np.ndarray, first: np.ndarray, doc: np.ndarray, field: Field) -> np.ndarray:
     """The best tags of every row's tokens: exact, run by run between tokens that are outside beyond doubt.
 
-    Putting such a token outside changes two moves (and, where an inside token
-    follows, is no worse than the bound allows, as moves are finite).
+    Whatever stands beside a token, putting it outside instead of tag y gains at
+    least its lead over y, less the most that the two moves can lose; where that
+    is above 0 for every y, the best path has it outside.
     """
-    tags = np.zeros(len(scores), np.int8)
     if not len(scores):
-        return tags
-    reach = 2 * max(float(field.moves.max() - field.moves.min()), float(field.start.max() - field.start.min()))
-    doubt = np.flatnonzero(scores[:, 1:].max(1) + reach >= scores[:, 0])
+        return np.zeros(0, np.int8)
+    into = np.vstack([field.moves, field.start])  # what can stand before: a tag, or the row's beginning
+    out = np.hstack([field.moves, np.zeros((3, 1), np.float32)])  # what can follow: a tag, or the row's end
+    reach = [float((into[:, y] - into[:, OUTSIDE]).max() + (out[y] - out[OUTSIDE]).max()) for y in (BEGIN, INSIDE)]
+    doubt = np.flatnonzero((scores[:, BEGIN] + reach[0] >= scores[:, OUTSIDE]) | (scores[:, INSIDE] + reach[1] >= scores[:, OUTSIDE]))
     if not len(doubt):
-        return tags
-    cut = np.flatnonzero((np.diff(doubt) > 1) | (np.diff(doc[doubt]) != 0)) + 1
-    none = np.zeros(3, np.float32)
-    for run in np.split(doubt, cut):
-        a, b = run[0], run[-1] + 1
-        d = doc[a]
-        head = field.start if a == first[d] else field.moves[OUTSIDE]
-        tail = none if b == first[d + 1] else field.moves[:, OUTSIDE]
-        tags[a:b] = viterbi(scores[a:b], field.moves, head, tail)
-    return tags
+        return np.zeros(len(scores), np.int8)
+    fresh = np.flatnonzero(np.concatenate([[True], (np.diff(doubt) > 1) | (np.diff(doc[doubt]) != 0)]))
+    begin, size = doubt[fresh], np.diff(np.append(fresh, len(doubt)))
+    d = doc[begin]
+    head = np.where((begin == first[d])[:, None], field.start, field.moves[OUTSIDE])
+    tail = np.where((begin + size == first[d + 1])[:, None], np.float32(0), field.moves[:, OUTSIDE])
+    return viterbi(scores, begin, size, field.moves, head, tail)
 
 
 def train(texts: list[str], seed: int = 7, rounds: int = 70, rate: float = 0.12, decay: float = 2e-4) -> Field:
