@@ -325,8 +325,13 @@ SAMPLE, SAMPLE_CHARS = 1000, 20_000
 def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE, most_chars: int = SAMPLE_CHARS) -> Field:
     """A field trained on the sample of documents with the smallest hashes of their texts."""
     own = docs.select(F.col(text).alias("t")).where(F.col("t").isNotNull() & (F.length("t") <= most_chars))
-    rows = own.orderBy(F.xxhash64("t"), "t").limit(sample).collect()
-    return train([r[0] for r in rows])
+    # hashes first, so that tasks send numbers to be ranked and the driver gets the sample's texts alone
+    hashed = own.withColumn("h", F.xxhash64("t"))
+    most = hashed.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    if most is None:
+        return train([])
+    rows = hashed.where(F.col("h") <= most).groupBy("h").agg(F.first("t").alias("t")).orderBy("h").collect()
+    return train([r["t"] for r in rows])
 
 
 def scan(texts: pa.Array, field: Field) -> list[list[Span]]:
