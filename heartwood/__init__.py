@@ -1,0 +1 @@
+"""Incremental, hierarchical refresh of derived documents on Spark."""
