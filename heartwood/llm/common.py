@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.state import cut as settle  # noqa: F401
+
 #: Bytes of text that one vectorised step works on; a longer text is worked on alone.
 STEP_BYTES = 1 << 21
 
@@ -27,23 +24,6 @@ def fold_of(id_col: str | Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where the session names none."""
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not d:
-        d = f"file://{tempfile.mkdtemp(prefix='heartwood-')}"
-        spark.conf.set("spark.checkpoint.dir", d)
-        atexit.register(shutil.rmtree, d.removeprefix("file://"), ignore_errors=True)
-    return d.rstrip("/")
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and a lost executor costs nothing."""
-    path = f"{shared_dir(df.sparkSession)}/heartwood-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def others(columns: list[str], new: list[str], *more: str) -> list[str]:
     """Columns that keep their places beside new ones: those of other names, in whatever case."""
     taken = {c.lower() for c in (*new, *more)}
