@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import BooleanType
 
 BRANCHES = ("main", "master")  # fixed values: branches that are followed where none are configured
 _HEADS = "refs/heads/"
@@ -48,7 +49,7 @@ def changed_files(events: DataFrame, key: str = "delivery_id", payload: str = "p
     return each.select(key, F.explode(F.concat(F.coalesce("c.added", none), F.coalesce("c.modified", none))).alias("path")).distinct()
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def signed(body: pd.Series, signature: pd.Series, secret: pd.Series) -> pd.Series:
     """Whether an event's signature is that of its body; no without a secret or a signature."""
 
