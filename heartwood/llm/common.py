@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..sources.state import cut as settle  # noqa: F401
 
 #: Bytes of text that one vectorised step works on; a longer text is worked on alone.
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
