@@ -172,8 +172,6 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     fair = stats.where(~F.col("base_failed") & F.col("x_length").isNotNull())
     sizes = settle(fair.groupBy("__lang", "__source").agg(F.count("*").alias("n")))
     level = lambda k, *c: F.concat_ws("\x1f", F.lit(k), *(F.coalesce(F.concat(F.lit("="), x), F.lit("")) for x in c))
-    level = lambda k, *c: F.concat_ws("\x1f", F.lit(k), *(F.coalesce(F.concat(F.lit("="), x), F.lit("")) for x in c))
-    per_lang = sizes.groupBy("__lang").agg(F.sum("n").alias("m"))
     full, part, whole = level("s", F.col("__lang"), F.col("__source")), level("l", F.col("__lang")), level("a")
     group = F.when(F.col("n") >= least, full).when(F.col("m") >= least, part).otherwise(whole)
     # a row counts for its source, its language and the whole; those that some group needs are estimated
