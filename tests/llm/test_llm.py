@@ -193,6 +193,26 @@ def test_planted_passages(spark):
     assert by[11]["class_id"] == 10 and by[11]["word_end"] == 150
 
 
+def test_passages_beside_a_common_core(spark):
+    """Pairs of 60 words whose middle also stands in other texts, which are the representatives of most of its groups."""
+    rng = np.random.default_rng(17)
+    fresh = lambda n: [f"x{rng.integers(1 << 40)}" for _ in range(n)]
+    rows = []
+    for p in range(40):
+        whole = fresh(60)
+        core = whole[7:52]
+        for side in range(2):
+            rows.append((1000 * p + side, " ".join(fresh(40) + whole + fresh(40))))
+        for other in range(20):
+            rows.append((1000 * p + 10 + other, " ".join(fresh(40) + core + fresh(40))))
+    got = passages.find_passages(spark.createDataFrame(rows, "doc_id int, text string")).collect()
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r["doc_id"]].append(r)
+    lost = [p for p in range(40) if not any(r["word_start"] <= 40 and r["word_end"] >= 100 for r in by[1000 * p]) or not any(r["class_id"] == 1000 * p for r in by[1000 * p + 1])]
+    assert not lost, lost
+
+
 # --- pages
 
 
