@@ -12,10 +12,11 @@ Equal texts (by a hash of 128 bits of their words) are one node from the start,
 so copies cost a row each and no pairs. In a group, every text is paired with the
 group's hub, the text that meets most others over all sketches. After links are
 joined to components, texts of groups that still hold several components are
-paired again by the sketches they share (see _cross), in rounds of TRIES: those
-that the first round leaves outside of their group's largest component try more
-texts in the next. So a text costs a bounded number of pairs, and pairs are never
-all pairs of a large group; a text that none of its TRIES links stays outside.
+paired again (see _cross), in rounds of TRIES: first with the few that share most
+sketches, which joins most of them, then with all that are left. No pair is left
+out but by a bound: counts of distinct shingles in BUCKETS, of which two texts
+can't share more than the lesser count in each. So in the end no two texts of
+different classes that share a sketch have a similarity of THRESHOLD or more.
 
 Defined cases: texts of under five words have no shingles and are copies of
 equal word sequences only; texts without words, of equal texts only (null is the
@@ -41,7 +42,7 @@ from .common import raw, settle, steps, strings
 from .components import components
 
 SKETCHES, PICKS, THRESHOLD = 16, 2, 0.8
-SMALL, WIDE, ENOUGH, TRIES = 16, 2048, 5, (6, 36)
+SMALL, BLOCK, BUCKETS, TRIES = 16, 1024, 256, (6, None)
 #: Ids that a broadcast of candidates may hold.
 BROADCAST_IDS = 250_000
 _SEEDS = np.random.default_rng(77).integers(1, 2**63, SKETCHES, dtype=np.uint64)
@@ -117,21 +118,43 @@ def sketch(buf: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], np.ndarra
     return ids, count, out
 
 
+def buckets(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Of each row, how many of its distinct shingles fall in each of BUCKETS, 255 at most."""
+    n = len(offsets) - 1
+    w = tk.words(buf, offsets, tk.ALNUM)
+    s, at = tk.shingles(w.hash, w.doc)
+    doc = w.doc[at]
+    order = np.lexsort((s, doc))
+    s, doc = s[order], doc[order]
+    new = np.concatenate([[True], (s[1:] != s[:-1]) | (doc[1:] != doc[:-1])])[: len(s)]
+    spot = doc[new] * BUCKETS + (tk.mix(s[new]) & np.uint64(BUCKETS - 1)).astype(np.int64)
+    return np.minimum(np.bincount(spot, minlength=n * BUCKETS), 255).astype(np.uint8).reshape(n, BUCKETS)
+
+
+def may_align(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether rows of buckets leave room for a similarity of THRESHOLD; a full bucket bounds nothing."""
+    total = a.sum(axis=-1, dtype=np.int64) + b.sum(axis=-1, dtype=np.int64)
+    both = np.minimum(a, b).sum(axis=-1, dtype=np.int64)
+    return (both >= THRESHOLD / (1 + THRESHOLD) * total - 1e-9) | (a.max(axis=-1) == 255) | (b.max(axis=-1) == 255)
+
+
 def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The id, tid (the text's key), n_shingles and sk (its sketches)."""
-    schema = T.StructType([T.StructField(doc_id, docs.schema[doc_id].dataType), T.StructField("tid", T.BinaryType()), T.StructField("n_shingles", T.LongType()), T.StructField("sk", T.ArrayType(T.LongType()))])
+    """The id, tid (the text's key), n_shingles, sk (its sketches) and fp (its buckets)."""
+    schema = T.StructType([T.StructField(doc_id, docs.schema[doc_id].dataType), T.StructField("tid", T.BinaryType()), T.StructField("n_shingles", T.LongType()), T.StructField("sk", T.ArrayType(T.LongType())), T.StructField("fp", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             col = strings(batch, 1)
             buf, offsets = raw(col)
             for i, j in steps(offsets):
-                ids, count, sk = sketch(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                part = buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                ids, count, sk = sketch(*part)
+                fp = pa.array([row.tobytes() for row in buckets(*part)], pa.binary())
                 flat = pa.array(sk.view(np.int64).reshape(-1))
                 has = np.where(count > 0, SKETCHES, 0)
                 flat = flat.filter(pa.array(np.repeat(count > 0, SKETCHES)))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(has)]), pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(ids, pa.binary()), pa.array(count, pa.int64()), lists], names=schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(ids, pa.binary()), pa.array(count, pa.int64()), lists, fp], names=schema.names)
 
     return docs.select(F.col(doc_id), F.col(text).alias("__text")).mapInArrow(run, schema)
 
@@ -212,7 +235,7 @@ def _pairs(df: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, sk: DataFrame, text: str = "text") -> DataFrame:
     """Verified pairs (a, b, similarity) of text keys, for sketches of docs."""
-    one = settle(sk.where("n_shingles > 0").groupBy("tid").agg(F.first("sk").alias("sk")))
+    one = settle(sk.where("n_shingles > 0").groupBy("tid").agg(F.first("sk").alias("sk"), F.first("fp").alias("fp")))
     bands = one.select("tid", F.posexplode("sk").alias("j", "key"))
     # groups, masses and hubs are written, so that joins with them can split a large group's rows
     many = settle(bands.groupBy("j", "key").agg(F.count("*").alias("size")).where("size > 1"))
@@ -230,53 +253,64 @@ def links(docs: DataFrame, sk: DataFrame, text: str = "text") -> DataFrame:
     return good
 
 
-def _cross(member: DataFrame, one: DataFrame, label: DataFrame, most: int) -> DataFrame:
-    """Pairs (x, y) worth a try of texts that share a group but not a component.
+def _cross(member: DataFrame, one: DataFrame, label: DataFrame, most: int | None) -> DataFrame:
+    """Pairs (x, y) of texts that share a group but not a component, and whose buckets may align.
 
-    In groups of up to SMALL all of them, if they share ENOUGH sketches. In
-    larger ones, for each text outside of the group's largest component the
-    `most` texts of other components by the number of sketches shared, of those
-    that it shares no earlier sketch with; a group
-    over WIDE is first parted by the texts' other sketches, of which texts that
-    are alike share most, and others few.
+    In groups of over SMALL texts, for each text outside of the largest
+    component the `most` texts by the number of sketches shared, or all; such a
+    group is dealt in pairs of blocks of about BLOCK texts, so that all of its
+    pairs meet but no task holds them all.
     """
     named = member.join(label.withColumnRenamed("node", "tid"), "tid", "left").withColumn("label", F.coalesce("label", "tid"))
     group = ["j", "key"]
-    differ = lambda df, by: settle(df.groupBy(*by).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(*by))
-    left = settle(named.join(differ(named, group), group).join(one, "tid"))
-    few = left.where(F.col("size") <= SMALL)
-    other = few.select(*group, F.col("tid").alias("y"), F.col("label").alias("ly"), F.col("sk").alias("sy"))
-    shared = F.size(F.filter(F.arrays_zip("sk", "sy"), lambda p: p["sk"] == p["sy"]))
-    by_all = few.join(other, group).where((F.col("tid") < F.col("y")) & (F.col("label") != F.col("ly")) & (shared >= ENOUGH)).select(F.col("tid").alias("x"), "y")
-    some = left.where((F.col("size") > SMALL) & (F.col("size") <= WIDE)).select("tid", "label", "sk", *group, F.lit(-1).alias("j2"), F.lit(0).cast("long").alias("key2"))
-    wide = left.where(F.col("size") > WIDE).select("tid", "label", "sk", *group, F.posexplode("sk").alias("j2", "key2")).where("j2 <> j")
-    parts = ["j", "key", "j2", "key2"]
-    wide = wide.join(differ(wide, parts), parts).select(*some.columns)
+    open_ = settle(named.groupBy(*group).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(*group))
+    left = settle(named.join(open_, group).join(one, "tid"))
+    few = left.where(F.col("size") <= SMALL).select(*group, "tid", "label", "fp")
+    other = few.select(*group, F.col("tid").alias("y"), F.col("label").alias("ly"), F.col("fp").alias("fy"))
+    met = few.join(other, group).where((F.col("tid") < F.col("y")) & (F.col("label") != F.col("ly"))).select(F.col("tid").alias("x"), "y", "fp", "fy")
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BUCKETS) for k in (2, 3))
+            ok = pa.array(may_align(a, b))
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(ok) for k in (0, 1)], names=["x", "y"])
+
+    by_all = met.mapInArrow(bound, "x binary, y binary")
+    n = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = left.where(F.col("size") > SMALL).withColumn("block", F.pmod(F.xxhash64("tid"), n).cast("int"))
+    dealt = dealt.withColumn("to", F.explode(F.sequence(F.lit(0), n - 1)))
+    dealt = dealt.select("tid", "label", "sk", "fp", *group, "block", F.least("block", "to").alias("p"), F.greatest("block", "to").alias("q"))
 
     def best(pdf):
         import pandas as pd
 
         tid, lab, sk = pdf["tid"].to_numpy(), pd.factorize(pdf["label"])[0], np.stack(pdf["sk"].to_numpy())
-        rest = np.flatnonzero(lab != np.bincount(lab).argmax())
-        own, then = int(pdf["j"].iloc[0]), int(pdf["j2"].iloc[0])
+        fp = np.frombuffer(b"".join(pdf["fp"]), np.uint8).reshape(-1, BUCKETS)
+        block, apart = pdf["block"].to_numpy(), bool(pdf["p"].iloc[0] != pdf["q"].iloc[0])
+        inside = lab == np.bincount(lab).argmax()
+        own = int(pdf["j"].iloc[0])
+        total = fp.sum(axis=1, dtype=np.int64)
+        full = fp.max(axis=1) == 255
         out = []
-        for at in (rest[i : i + 256] for i in range(0, len(rest), 256)):
-            same = np.zeros((len(at), len(sk)), np.int8)
-            for c in range(sk.shape[1]):
-                hit = sk[at, None, c] == sk[None, :, c]
-                # a pair is tried in the first group that it shares (in parted groups, in the first two), not in each
-                if c < own or own < c < then:
-                    same[hit] = -100
-                same += hit
-            same[lab[at][:, None] == lab[None, :]] = 0
-            k = min(most, len(sk))
-            top = np.argpartition(-same, k - 1, axis=1)[:, :k]
-            row, col = np.nonzero(np.take_along_axis(same, top, 1) >= ENOUGH)
-            out.append((tid[at[row]], tid[top[row, col]]))
-        x, y = (np.concatenate(c) for c in zip(*out, strict=True)) if out else ([], [])
-        return pd.DataFrame({"x": x, "y": y})
-
-    by_best = some.unionByName(wide).groupBy(*parts).applyInPandas(best, "x binary, y binary")
+        for i in np.flatnonzero(~inside):
+            # each pair once, in the first group that it shares
+            ok = (lab != lab[i]) & (inside | (np.arange(len(lab)) > i))
+            if apart:
+                ok &= block != block[i]
+            if not full[i]:
+                ok &= full | (np.minimum(total, total[i]) >= THRESHOLD * np.maximum(total, total[i]) - 1e-6)
+            at = np.flatnonzero(ok)
+            same = sk[at] == sk[i]
+            at, same = at[~same[:, :own].any(axis=1)], same[~same[:, :own].any(axis=1)]
+            fit = may_align(fp[at], fp[i][None])
+            at, same = at[fit], same[fit].sum(axis=1)
+            if most is not None and len(at) > most:
+                at = at[np.argsort(-same, kind="stable")[:most]]
+            out.append((np.full(len(at), i), at))
+        x, y = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int))
+        return pd.DataFrame({"x": tid[x], "y": tid[y]})
+
+    by_best = dealt.groupBy(*group, "p", "q").applyInPandas(best, "x binary, y binary")
     return by_all.unionByName(by_best)
 
 

@@ -415,6 +415,32 @@ def test_large_group_of_near_copies(spark):
     assert all(got[i] == 0 for i in range(60)) and all(got[100 + i] == 100 + i for i in range(5))
 
 
+@pytest.mark.parametrize("size", [2, 40])
+def test_pairs_with_few_shared_sketches_are_tried(spark, size):
+    """Near copies that share one to four of the sketches, in a small group and in one of another size class."""
+    rng = np.random.default_rng(23)
+    texts = []
+    for i in range(1500):
+        own = [f"b{rng.integers(1 << 40)}" for _ in range(60)]
+        texts.append(" ".join(own))
+        own[30] = "x"
+        texts.append(" ".join(own))
+    data = [x.encode() for x in texts]
+    _, _, sk = copies.sketch(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in data])]))
+    shared = (sk[::2] == sk[1::2]).sum(axis=1)
+    near = [i for i in range(1500) if 1 <= shared[i] <= 4 and copies.aligned(copies.kmers(texts[2 * i]), copies.kmers(texts[2 * i + 1]))][:20]
+    assert near
+    df = spark.createDataFrame([(2 * i + k, texts[2 * i + k]) for i in near for k in (0, 1)], "doc_id int, text string")
+    one = copies.sketches(df).drop("n_shingles")
+    ids = {r["doc_id"]: bytes(r["tid"]) for r in one.collect()}
+    one = one.drop("doc_id")
+    bands = one.select("tid", F.posexplode("sk").alias("j", "key"))
+    member = bands.join(bands.groupBy("j", "key").count().where("count > 1").drop("count"), ["j", "key"]).withColumn("size", F.lit(size).cast("long"))
+    none = spark.createDataFrame([], "node binary, label binary")
+    got = {frozenset((bytes(r["x"]), bytes(r["y"]))) for r in copies._cross(member, one, none, copies.TRIES[-1]).collect()}
+    assert {frozenset((ids[2 * i], ids[2 * i + 1])) for i in near} <= got
+
+
 def test_order_counts():
     a = copies.kmers(PROSE)
     assert copies.aligned(a, a) == 1.0
