@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
+import weakref
 from collections.abc import Mapping
 
 from pyspark.errors import AnalysisException
@@ -14,9 +16,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one where the session names none."""
+    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one where a local session names none.
+
+    A cluster's executors can't see the driver's temporary folder, so there a session must name one.
+    """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not d:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         d = f"file://{tempfile.mkdtemp(prefix='heartwood-')}"
         spark.conf.set("spark.checkpoint.dir", d)
         atexit.register(shutil.rmtree, d.removeprefix("file://"), ignore_errors=True)
@@ -27,7 +34,21 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and a lost executor costs nothing."""
     path = f"{shared_dir(df.sparkSession)}/heartwood-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _folders[out] = path
+    return out
+
+
+#: Folders of the tables that cut() has written, by the frames it returned.
+_folders: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that cut() returned and that nothing will read again."""
+    for df in tables:
+        if path := _folders.pop(df, None):
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 def latest(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
