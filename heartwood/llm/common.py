@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.state import cut as settle  # noqa: F401
+from ..sources.state import cut as settle, release  # noqa: F401
 
 #: Bytes of text that one vectorised step works on; a longer text is worked on alone.
 STEP_BYTES = 1 << 19
