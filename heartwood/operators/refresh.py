@@ -35,7 +35,7 @@ def generated(leaves: DataFrame, generator: Callable[[str, str], str], retries:
     return leaves.select("repo", "path", "text").mapInPandas(run, "repo string, path string, doc string, error string")
 
 
-def refresh_leaves(leaves: DataFrame, diff: DataFrame, cache: DataFrame, generator: Column | Callable[[str, str], str]) -> DataFrame:
+def refresh_leaves(leaves: DataFrame, diff: DataFrame, cache: DataFrame, generator: Column | Callable[[str, str], str], retries: int = 0) -> DataFrame:
     """(repo, path, doc, outcome, error) of all live leaves: regenerated where stale, else reused from the cache; deleted ones go.
 
     A Column as generator stays in the JVM; a function goes through Arrow batches.
@@ -46,7 +46,7 @@ def refresh_leaves(leaves: DataFrame, diff: DataFrame, cache: DataFrame, generat
     if isinstance(generator, Column):
         new = todo.select(*keys, generator.alias("doc"), F.lit(None).cast("string").alias("error"))
     else:
-        new = cut(generated(todo, generator))  # once: a plan may read it twice
+        new = cut(generated(todo, generator, retries))  # once: a plan may read it twice
     new = new.withColumn("outcome", F.when(F.col("error").isNull(), "regenerated").otherwise("failed"))
     old = cache.join(live.where("NOT stale").select(*keys), keys, "left_semi").select(*keys, "doc", F.lit(None).cast("string").alias("error"), F.lit("reused").alias("outcome"))
     return new.select(*keys, "doc", "outcome", "error").unionByName(old.select(*keys, "doc", "outcome", "error"))
@@ -62,13 +62,14 @@ def refresh_nodes(nodes: DataFrame, stale: DataFrame, leaf_docs: DataFrame, cach
     every = nodes.select("repo", "node_id", paths.depth(F.col("node_id")).alias("depth"))
     todo = every.join(stale.select("repo", "node_id"), ["repo", "node_id"], "left_semi")
     kept = cache.join(every, ["repo", "node_id"], "left_semi").join(todo, ["repo", "node_id"], "left_anti").select("repo", "node_id", "doc")
-    done = kept.withColumn("outcome", F.lit("reused"))
     deepest = todo.agg(F.max("depth")).first()[0]
-    leaf_kids = leaf_docs.where("doc IS NOT NULL").select("repo", paths.parent(F.col("path")).alias("node_id"), F.col("path").alias("id"), "doc")
+    as_kids = lambda df: df.where(F.col("node_id") != paths.ROOT).select("repo", paths.parent(F.col("node_id")).alias("node_id"), F.col("node_id").alias("id"), "doc")
+    kids_of = leaf_docs.where("doc IS NOT NULL").select("repo", paths.parent(F.col("path")).alias("node_id"), F.col("path").alias("id"), "doc").unionByName(as_kids(kept))
+    below, out = None, kept.withColumn("outcome", F.lit("reused"))
     for level in range(deepest, -2, -1) if deepest is not None else []:
         own = todo.where(F.col("depth") == level).select("repo", "node_id")
-        folders = done.where(F.col("node_id") != paths.ROOT).select("repo", paths.parent(F.col("node_id")).alias("node_id"), F.col("node_id").alias("id"), "doc")
-        kids = own.join(leaf_kids.unionByName(folders), ["repo", "node_id"], "left")
+        # a folder's children are leaves, reused folders and those that the level below has made
+        kids = own.join(kids_of if below is None else kids_of.unionByName(as_kids(below)), ["repo", "node_id"], "left")
         packed = kids.groupBy("repo", "node_id").agg(F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("id", "doc")))).alias("kids"))
         if native:
             made = packed.select("repo", "node_id", synthesizer(F.col("node_id"), F.col("kids")).alias("doc"))
@@ -80,8 +81,9 @@ def refresh_nodes(nodes: DataFrame, stale: DataFrame, leaf_docs: DataFrame, cach
                     yield pdf[["repo", "node_id"]].assign(doc=docs)
 
             made = packed.mapInPandas(run, "repo string, node_id string, doc string")
-        done = cut(done.unionByName(made.withColumn("outcome", F.lit("resynthesized"))))
-    return done
+        below = cut(made)
+        out = out.unionByName(below.withColumn("outcome", F.lit("resynthesized")))
+    return out
 
 
 def child_listing(kids: Column, n: int = CHILD_CHARS) -> Column:

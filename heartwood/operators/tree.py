@@ -24,7 +24,7 @@ def node_hashes(leaves: DataFrame) -> DataFrame:
     each, over leaves and the level below.
     """
     flat = leaves.select("repo", F.col("path").alias("node_id"), paths.parent(F.col("path")).alias("parent_id"), F.col("blob_sha").alias("node_hash"))
-    flat = flat.withColumn("at", paths.depth(F.col("parent_id")))
+    flat = cut(flat.withColumn("at", paths.depth(F.col("parent_id"))))  # the items' contents are read and hashed once
     deepest = flat.agg(F.max("at")).first()[0]
     out = flat.select("repo", "node_id", "parent_id", paths.depth(F.col("node_id")).alias("depth"), F.lit("leaf").alias("kind"), "node_hash")
     if deepest is None:

@@ -10,17 +10,22 @@ from ..operators import diff as d
 from ..operators import tree
 
 
-def refresh_plan(current: DataFrame, previous: DataFrame, committed: DataFrame | None = None, keep: Column | None = None, by_hash: bool = False) -> DataFrame:
+def refresh_plan(current: DataFrame, previous: DataFrame, committed: DataFrame | None = None, keep: Column | None = None, by_hash: bool = False, recorded: DataFrame | None = None) -> DataFrame:
     """(repo, id, action, phase) from two snapshots; action is regen, resynth or delete.
 
     Folders come from the ancestors of changed leaves, or from a comparison of
-    tree hashes; both give the same folders.
+    tree hashes; both give the same folders. With recorded, the (repo, node_id,
+    node_hash) of folders that have been made, these count instead of the previous
+    leaves' tree, so that folders which an earlier run left undone are found.
     """
     diff = d.snapshot_diff(current, previous, committed, keep)
     cur, old = (x if keep is None else x.where(keep) for x in (current, previous))
     changed = diff.where("stale")
     leaf = changed.select("repo", F.col("path").alias("id"), F.when(F.col("deleted"), "delete").otherwise("regen").alias("action"), F.lit(1).alias("phase"))
-    stale = tree.stale_nodes(tree.node_hashes(cur), tree.node_hashes(old)) if by_hash else tree.ancestor_closure(changed, cur)
+    if recorded is not None:
+        stale = tree.stale_nodes(tree.node_hashes(cur), recorded.withColumn("kind", F.lit("folder")))
+    else:
+        stale = tree.stale_nodes(tree.node_hashes(cur), tree.node_hashes(old)) if by_hash else tree.ancestor_closure(changed, cur)
     return leaf.unionByName(stale.select("repo", F.col("node_id").alias("id"), F.lit("resynth").alias("action"), F.lit(2).alias("phase")))
 
 

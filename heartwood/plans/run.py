@@ -14,7 +14,7 @@ from ..sources.files import snapshot
 from ..sources.state import Store, cut
 from . import plan as p
 
-LEAF, DOC, NODE_DOC = "repo string, path string, blob_sha string", "repo string, path string, doc string", "repo string, node_id string, doc string"
+LEAF, DOC, NODE_DOC, TREE = "repo string, path string, blob_sha string", "repo string, path string, doc string", "repo string, node_id string, doc string", "repo string, node_id string, node_hash string"
 
 
 @dataclass
@@ -31,19 +31,21 @@ class Result:
     halted: bool = False
 
 
-def run(store: Store, files: DataFrame, sha: str, generator: Column | Callable[[str, str], str], synthesizer: Callable, keep: Column | None = None, ceiling: float | None = None, price: float = budget.PRICE, workers: int | None = None, native: bool = True) -> Result:
+def run(store: Store, files: DataFrame, sha: str, generator: Column | Callable[[str, str], str], synthesizer: Callable, keep: Column | None = None, ceiling: float | None = None, price: float = budget.PRICE, workers: int | None = None, native: bool = True, retries: int = 0) -> Result:
     """Bring the documents of files (repo, path, text) up to date.
 
     An empty plan calls nothing and only moves the base. Under a ceiling, work
-    is admitted in order before any of it runs; where it does not suffice, the
-    admitted documents and their leaves are kept, folders wait, and the base
-    stays, so that the next run goes on from there.
+    is admitted in order before any of it runs; where it does not suffice, what
+    was admitted is made and kept, leaves and folders, and the base stays. Beside
+    the leaves, the hashes of the folders that have been made are stored, so that
+    the next run finds those that were left undone and goes on from there.
+    `calls` are the leaves and folders that functions were called for.
     """
     own = files if keep is None else files.where(keep)
     current = cut(snapshot(own, F.col("repo")))
     previous = store.read("leaf_sha", LEAF)
-    cached, folders = store.read("unit_doc", DOC), store.read("folder_doc", NODE_DOC)
-    todo = cut(p.refresh_plan(current, previous))
+    cached, folders, made = store.read("unit_doc", DOC), store.read("folder_doc", NODE_DOC), store.read("tree", TREE)
+    todo = cut(p.refresh_plan(current, previous, recorded=made))
     if todo.isEmpty():
         store.advance(sha)
         return Result(sha, True, todo, cached, folders)
@@ -60,16 +62,21 @@ def run(store: Store, files: DataFrame, sha: str, generator: Column | Callable[[
     some = admitted.where("phase = 1").select("repo", F.col("id").alias("path"))
     texts = own if workers is None else own.repartition(workers)
     part = diff.join(some, ["repo", "path"], "left_semi").unionByName(diff.where("NOT stale AND NOT deleted"))
-    docs = cut(refresh.refresh_leaves(texts, part, cached, generator))
+    docs = cut(refresh.refresh_leaves(texts, part, cached, generator, retries))
     good = docs.where("outcome <> 'failed'")
     # a failed or refused leaf keeps what was recorded of it, so that it stays stale
-    fresh = current.join(good.select("repo", "path"), ["repo", "path"], "left_semi")
+    fresh = cut(current.join(good.select("repo", "path"), ["repo", "path"], "left_semi"))
+    # folders are admitted after all leaves; one that waits keeps its document and the hash that was recorded of it
+    now = admitted.where("phase = 2").select("repo", F.col("id").alias("node_id"))
+    live = tree.live_nodes(current)
+    nodes = cut(refresh.refresh_nodes(live, now, good, folders, synthesizer, native))
+    waits = todo.where("phase = 2").select("repo", F.col("id").alias("node_id")).join(now, ["repo", "node_id"], "left_anti")
+    hashes = tree.node_hashes(fresh).where("kind <> 'leaf'").select("repo", "node_id", "node_hash").join(waits, ["repo", "node_id"], "left_anti")
+    tables = {"folder_doc": nodes.select("repo", "node_id", "doc"), "tree": hashes.unionByName(made.join(waits, ["repo", "node_id"], "left_semi"))}
     if halted:
         kept = previous.join(fresh, ["repo", "path"], "left_anti").unionByName(fresh)
         old = cached.join(good, ["repo", "path"], "left_anti").unionByName(good.select("repo", "path", "doc"))
-        store.commit({"leaf_sha": kept, "unit_doc": old, "folder_doc": folders}, store.state()[2] or "-")
-        return Result(sha, False, todo, docs, folders, calls, spent, True)
-    stale = todo.where("action = 'resynth'").select("repo", F.col("id").alias("node_id"))
-    nodes = refresh.refresh_nodes(tree.live_nodes(current), stale, good, folders, synthesizer, native)
-    store.commit({"leaf_sha": fresh, "unit_doc": good.select("repo", "path", "doc"), "folder_doc": nodes.select("repo", "node_id", "doc")}, sha)
+        store.commit(tables | {"leaf_sha": kept, "unit_doc": old}, sha=store.state()[2] or "-")
+        return Result(sha, False, todo, docs, nodes, calls, spent, True)
+    store.commit(tables | {"leaf_sha": fresh, "unit_doc": good.select("repo", "path", "doc")}, sha)
     return Result(sha, False, todo, docs, nodes, calls, spent)

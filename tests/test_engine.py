@@ -107,6 +107,34 @@ def test_budget_halts_and_goes_on(spark, tmp_path):
     assert not r.halted and r.calls == 1 + 3 and store.state()[2] == "c1"
 
 
+@pytest.mark.parametrize(("ceiling", "calls"), [(0.05, 0), (0.35, 3), (0.45, 4)])
+def test_budget_loses_no_folder(spark, tmp_path, ceiling, calls):
+    """Wherever the ceiling falls, later runs end with the documents of a run without one, and make each once."""
+    files = frame(spark, {"src/a.py": "a", "src/util/b.py": "b", "src/util/c.py": "c"})
+    gen, syn = (lambda p, t: f"U{p}"), (lambda n, kids: f"S{n}{sorted(kids.items())}")
+    whole = run.run(Store(spark, f"file://{tmp_path}/w"), files, "c1", gen, syn, native=False)
+    expect = {(r["node_id"], r["doc"]) for r in whole.node_docs.collect()}
+    store = Store(spark, f"file://{tmp_path}/s")
+    first = run.run(store, files, "c1", gen, syn, ceiling=ceiling, price=0.10, native=False)
+    assert (first.halted, first.calls) == (True, calls)
+    assert first.node_docs.count() == max(calls - 3, 0)
+    second = run.run(store, files, "c1", gen, syn, ceiling=1.0, price=0.10, native=False)
+    assert (second.halted, second.calls) == (False, 6 - calls)
+    assert {(r["node_id"], r["doc"]) for r in store.read("folder_doc", run.NODE_DOC).collect()} == expect
+    assert run.run(store, files, "c2", gen, syn, native=False).noop
+
+
+def test_a_deleted_folder_under_a_budget(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    gen, syn = (lambda p, t: f"U{p}{t}"), (lambda n, kids: f"S{n}{sorted(kids)}")
+    run.run(store, frame(spark, {"a/x.py": "1", "b/y.py": "2"}), "c1", gen, syn, native=False)
+    after = frame(spark, {"a/x.py": "3"})
+    assert run.run(store, after, "c2", gen, syn, ceiling=0.1, price=0.1, native=False).halted
+    run.run(store, after, "c2", gen, syn, native=False)
+    assert {r["node_id"]: r["doc"] for r in store.read("folder_doc", run.NODE_DOC).collect()} == {".": "S.['a']", "a": "Sa['a/x.py']"}
+    assert [r["path"] for r in store.read("unit_doc", run.DOC).collect()] == ["a/x.py"]
+
+
 def test_budget_doubles(spark):
     rows = spark.createDataFrame([(1, i, 0.1) for i in range(3)], "phase int, ord int, cost double")
     assert [x["admitted"] for x in budget.admit(rows, "cost", 0.3).orderBy("ord").collect()] == [True, True, False]
@@ -151,6 +179,9 @@ def test_modules():
     assert {i["instance_name"] for i in m["instances"]} >= {"u0", "u1"}
     assert (m["always_blocks"], m["assigns"], m["infers_multiplier"]) == (1, 1, False)
     assert list(extract.modules(None)) == []
+    assert list(extract.modules("module a (" + "module b (" * 50_000)) == []  # nothing closes: linear all the same
+    assert [(x["module"], x["ports"][0]["name"]) for x in extract.modules("module m #(parameter P=1) (input [1:0] p[3:0]); endmodule module n (output logic signed q); endmodule")] == [("m", "p"), ("n", "q")]
+    assert [extract.multiplies(b) for b in ("y = a * b", "y = 2*3", "y = a ** 2", "y = x[a*b]", "(* a * b *)", "y = 2*k")] == [True, False, False, False, False, True]
 
 
 def test_search_edges(spark):
