@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import sys
+from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
 
@@ -66,40 +67,45 @@ def parse(page: str) -> Element:
     """The tree of a page."""
     root = Element("html")
     stack = [root]
+    places: dict[str, list[int]] = {"html": [0]}  # where open elements of a tag stand in the stack
 
     def close(until: int) -> None:
-        del stack[max(until, 1) :]
+        until = max(until, 1)
+        for el in stack[until:]:
+            places[el.tag].pop()
+        del stack[until:]
+
+    def top(names: frozenset[str]) -> int:
+        """The place of the last open element of these, but for the root; 0 if there is none."""
+        return max((places[n][-1] for n in names if places.get(n)), default=0)
 
     def last(names: frozenset[str], shields: frozenset[str]) -> int:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in names:
-                return i
-            if stack[i].tag in shields:
-                return 0
-        return 0
+        i = top(names)
+        return i if i >= top(shields) else 0
 
     def last_of_all(names: frozenset[str], shields: frozenset[str]) -> int:
-        found = 0
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in shields:
-                break
-            if stack[i].tag in names:
-                found = i
-        return found
+        beyond = top(shields)
+        first = [places[n][k] for n in names if n in places and (k := bisect_right(places[n], beyond)) < len(places[n])]
+        return min(first, default=0)
 
     def push(tag: str, attrs: str = "") -> Element:
         el = Element(tag, attrs)
         parent = stack[-1] if len(stack) < DEPTH else stack[DEPTH - 1]
         parent.kids.append(el)
+        places.setdefault(tag, []).append(len(stack))
         stack.append(el)
         return el
 
     at = 0
     find = _TOKEN.search
-    while m := find(page, at):
+    final = page.rfind(">") + 1  # no tag ends beyond; a search that went on would read the rest for each "<"
+    while m := find(page, at, final):
         if m.start() > at:
             stack[min(len(stack), DEPTH) - 1].kids.append(page[at : m.start()])
         at = m.end()
+        if m[0].startswith("<!--") and not m[0].endswith("-->"):
+            at = len(page)  # a comment without an end
+            break
         end, start, attrs = m[1], m[2] or m[4], m[3] if m[2] else m[5]
         if end:
             tag = end.lower()
@@ -114,7 +120,7 @@ def parse(page: str) -> Element:
         if not start:
             continue
         tag = start.lower()
-        if tag in ("html", "body") and any(e.tag == tag for e in stack):
+        if tag in ("html", "body") and places.get(tag):
             continue
         if tag in IMPLIED_END:
             i = last_of_all(*IMPLIED_END[tag])
@@ -136,15 +142,16 @@ def parse(page: str) -> Element:
             push("tbody")
         el = push(tag, attrs)
         if tag in VOID:
-            stack.pop()
+            close(len(stack) - 1)
         elif tag in RAW or tag in ESCAPABLE:
-            stop = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>", re.I).search(page, at)
+            stop = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>", re.I).search(page, at, max(final, at))
             body = page[at : stop.start() if stop else len(page)]
             el.kids.append(body if tag in ESCAPABLE else body.replace("&", "&amp;"))
             at = stop.end() if stop else len(page)
-            stack.pop()
-    if at < len(page):
-        stack[min(len(stack), DEPTH) - 1].kids.append(page[at:])
+            close(len(stack) - 1)
+    rest = page[at:].partition("<!--")[0]
+    if rest:
+        stack[min(len(stack), DEPTH) - 1].kids.append(rest)
     return root
 
 
