@@ -68,7 +68,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("secrets", mask_secrets),
     ("pieces", to_pieces),
 ]
-#: No SQL: the stages learn models. tests/llm holds run() against a plain version.
+#: No SQL: the stages learn models. tests/llm holds each operator against plain versions, and run() against the chain of STAGES.
 ORACLE_SQL = None
 
 
