@@ -3,7 +3,7 @@
 The patterns give the base spans, which always stay. The field tags the tokens
 of every text as begin, inside or outside of a secret, from the token's shape,
 the words beside it and features of the whole text, and adds what the patterns
-miss. It is trained here, by gradient ascent on the exact likelihood, from a
+miss, the rest of a secret that a pattern cuts short included. It is trained here, by gradient ascent on the exact likelihood, from a
 bounded sample of documents labelled by the patterns and from written-out
 templates of other secrets and of things that only look like them.
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -74,6 +75,10 @@ _KEYS = np.sort(np.array([tk.word_hash(w) for w in "password passwd pwd pass sec
 #: Sizes of the templates of features.
 SIZES = {"shape": 4096, "length": 16, "before": 48, "gap": 16, "second": 4, "after": 32, "word_before": 1024, "word_after": 1024, "file": 64}
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
+#: What is learned from a sampled text: its first so many secrets with so many tokens on either side, and so many tokens at a random place.
+SEEN, REACH, OTHER = 4, 12, 24
+#: Words around the templates: so many of so many texts of the sample.
+POOL_WORDS, POOL_TEXTS = 60, 200
 _BITS = np.array([0, 4, 8, 12, 16, 20, 24, 32, 40, 64], np.int64)
 
 
@@ -199,8 +204,12 @@ def decode(scores: np.ndarray, first: np.ndarray, doc: np.ndarray, field: Field)
     return viterbi(scores, begin, size, field.moves, head, tail)
 
 
-def train(texts: list[str], seed: int = 7, rounds: int = 70, rate: float = 0.12, decay: float = 2e-4) -> Field:
-    """Fit on texts labelled by the patterns, and on templates."""
+def train(texts: list[str], seed: int = 7, rounds: int = 70, rate: float = 0.12, decay: float = 2e-4, most: int = SEEN, reach: int = REACH, other: int = OTHER) -> Field:
+    """Fit on texts labelled by the patterns, and on templates.
+
+    Of each text it learns from the tokens within reach of its first `most`
+    secrets, and from `other` tokens at a random place.
+    """
     rng = np.random.default_rng(seed)
     made = [(t, [(s.value, s.end) for s in base_spans(t)]) for t in texts] + templates(texts, rng)
     seqs, tags = [], []
@@ -219,7 +228,7 @@ def train(texts: list[str], seed: int = 7, rounds: int = 70, rate: float = 0.12,
                 y[hit], y[hit[0]] = INSIDE, BEGIN
         stacked = np.stack([f[k] for k in SIZES])
         at = np.flatnonzero(y == BEGIN)
-        windows = [(max(0, i - 12), min(n, i + 12)) for i in at[:4]] + [(i, min(n, i + 24)) for i in rng.integers(0, n, 1)]
+        windows = [(max(0, i - reach), min(n, i + reach)) for i in at[:most]] + [(i, min(n, i + other)) for i in rng.integers(0, n, 1)]
         for a, b in windows:
             seqs.append(stacked[:, a:b])
             tags.append(y[a:b])
@@ -283,7 +292,7 @@ def _marginals(em: np.ndarray, real: np.ndarray, moves: np.ndarray, start: np.nd
 
 def templates(texts: list[str], rng: np.random.Generator, count: int = 700) -> list[tuple[str, list[tuple[int, int]]]]:
     """Texts with secrets of other forms, and with harmless look-alikes, amid words of the sample."""
-    pool = [w for t in texts[:200] for w in t.split()[:60]] or "the of and to in a is that it for on was as with be by".split()
+    pool = [w for t in texts[:POOL_TEXTS] for w in t.split()[:POOL_WORDS]] or "the of and to in a is that it for on was as with be by".split()
     lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     draw = lambda chars, n: "".join(np.array(list(chars))[rng.integers(0, len(chars), n)])
     b64 = lower + upper + digits
@@ -323,7 +332,10 @@ SAMPLE, SAMPLE_CHARS = 1000, 20_000
 
 
 def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE, most_chars: int = SAMPLE_CHARS) -> Field:
-    """A field trained on the sample of documents with the smallest hashes of their texts."""
+    """A field trained on the sample of documents with the smallest hashes of their texts.
+
+    The sample's bounds are sample and most_chars; see train() for what is learned from each text.
+    """
     own = docs.select(F.col(text).alias("t")).where(F.col("t").isNotNull() & (F.length("t") <= most_chars))
     # hashes first, so that tasks send numbers to be ranked and the driver gets the sample's texts alone
     hashed = own.withColumn("h", F.xxhash64("t"))
@@ -334,8 +346,30 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE, most_chars: i
     return train([r["t"] for r in rows])
 
 
+def _uncovered(text: str, lo: int, hi: int, starts: list[int], ends: list[int]) -> Iterator[tuple[int, int]]:
+    """The parts of text[lo:hi] outside of separate spans in order, where they hold a letter or a digit."""
+    k = bisect_right(ends, lo)
+    while lo < hi:
+        stop = min(hi, starts[k]) if k < len(starts) else hi
+        if any(c.isalnum() for c in text[lo:stop]):
+            yield lo, stop
+        lo, k = (max(stop, ends[k]) if k < len(ends) else hi), k + 1
+
+
+def _joined(spans: list[Span]) -> tuple[list[int], list[int]]:
+    """Starts and ends of what sorted spans cover together."""
+    starts, ends = [], []
+    for s in spans:
+        if ends and s.start <= ends[-1]:
+            ends[-1] = max(ends[-1], s.end)
+        else:
+            starts.append(s.start)
+            ends.append(s.end)
+    return starts, ends
+
+
 def scan(texts: pa.Array, field: Field) -> list[list[Span]]:
-    """All spans of each text, base ones first in rank; a field's span that touches a base span is dropped."""
+    """All spans of each text, base ones first in rank; of a field's span, the parts that no base span covers."""
     buf, offsets = raw(texts)
     rows = texts.to_pylist()
     found = [base_spans(t) for t in rows]
@@ -346,12 +380,15 @@ def scan(texts: pa.Array, field: Field) -> list[list[Span]]:
         hits = np.flatnonzero(tags)
         if not len(hits):
             continue
+        points = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
+        covered: dict[int, tuple[list[int], list[int]]] = {}
         new = (tags[hits] == BEGIN) | np.concatenate([[True], (np.diff(hits) > 1) | (np.diff(w.doc[hits]) != 0)])
         for run in np.split(hits, np.flatnonzero(new)[1:]):
-            d = w.doc[run[0]]
-            lo, hi = (len(part[at[d] : x].tobytes().decode()) for x in (w.start[run[0]], w.end[run[-1]]))
-            if all(hi <= s.start or s.end <= lo for s in found[i + d]):
-                found[i + d].append(Span(int(lo), 3, int(hi), int(lo)))
+            d = int(w.doc[run[0]])
+            lo, hi = (int(points[x] - points[at[d]]) for x in (w.start[run[0]], w.end[run[-1]]))
+            if d not in covered:
+                covered[d] = _joined(found[i + d])
+            found[i + d] += [Span(a, 3, b, a) for a, b in _uncovered(rows[i + d], lo, hi, *covered[d])]
     for spans in found:
         spans.sort()
     return found
