@@ -114,26 +114,27 @@ class Index:
         found = []
         for (row, size), places in wanted.items():
             first, last = np.searchsorted(w.doc[at], [row, row + 1])
-            if last - first < size:
+            length = min(size, last - first)  # a row shorter than the item is one window
+            if length < self.threshold * size - 1e-9:  # its similarity is length / size at most
                 continue
             p = np.array(places)
-            a, b = np.maximum(p - size + 1, first), np.minimum(p, last - size)
+            a, b = np.maximum(p - length + 1, first), np.minimum(p, last - length)
             mark = np.zeros(last - first + 2, np.int32)
             ok = b >= a
             np.add.at(mark, a[ok] - first, 1)
             np.add.at(mark, b[ok] + 1 - first, -1)
             starts = np.flatnonzero(np.cumsum(mark)[:-1] > 0)
-            for i, sim, start in self._windows(s[first:last], starts, size):
-                found.append((row, i, sim, int(w.start[at[first + start]]), int(w.end[at[first + start] + size + tk.SHINGLE - 2])))
+            for i, sim, start in self._windows(s[first:last], starts, size, length):
+                found.append((row, i, sim, int(w.start[at[first + start]]), int(w.end[at[first + start] + length + tk.SHINGLE - 2])))
         return found
 
-    def _windows(self, s: np.ndarray, starts: np.ndarray, size: int) -> Iterator[tuple[int, float, int]]:
+    def _windows(self, s: np.ndarray, starts: np.ndarray, size: int, length: int) -> Iterator[tuple[int, float, int]]:
         if not len(starts):
             return
         ids, prints, tables = self.sizes[size]
         base = starts[0]
-        part = s[base : starts[-1] + size]
-        bits = fingerprints(part, starts - base, size)
+        part = s[base : starts[-1] + length]
+        bits = fingerprints(part, starts - base, length)
         values = _blocks(bits)
         near = reduce(np.logical_or, (t[values[:, b]] for b, t in enumerate(tables)))
         own = np.packbits(bits, axis=1).view(np.uint64)
@@ -147,7 +148,7 @@ class Index:
             if i in done:
                 continue
             start = int(starts[win[k]])
-            sim = similarity(self.weights[i], Counter(s[start : start + size].tolist()))
+            sim = similarity(self.weights[i], Counter(s[start : start + length].tolist()))
             if sim >= self.threshold:
                 done.add(i)
                 yield i, sim, start
