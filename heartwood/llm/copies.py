@@ -3,8 +3,9 @@
 A text's five-word shingles are labelled by their occurrence (the second time a
 shingle occurs it is another k-mer). Each of SKETCHES sketches takes the PICKS
 k-mers with the least hashes and keeps them in the order of the text, so that
-two texts share a sketch with a chance that follows their edit similarity. Texts
-that share a sketch are a group; pairs from groups are verified by a banded
+two texts share a sketch with a chance that follows their edit similarity. The
+last PLAIN sketches leave later occurrences out, as verification does, so that a
+text and one that repeats a line of it many times meet. Texts that share a sketch are a group; pairs from groups are verified by a banded
 alignment of their distinct shingles: the longest run of them in the same order
 in both, within a band of places, over the shingles of either, THRESHOLD or more.
 
@@ -41,7 +42,7 @@ from . import tokens as tk
 from .common import raw, settle, steps, strings
 from .components import components
 
-SKETCHES, PICKS, THRESHOLD = 16, 2, 0.8
+SKETCHES, PLAIN, PICKS, THRESHOLD = 16, 4, 2, 0.8
 SMALL, BLOCK, BUCKETS, TRIES = 16, 1024, 256, (6, None)
 #: Ids that a broadcast of candidates may hold.
 BROADCAST_IDS = 250_000
@@ -92,6 +93,7 @@ def sketch(buf: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], np.ndarra
     s, at = tk.shingles(w.hash, w.doc)
     doc = w.doc[at]
     lab = labelled(s, doc)
+    again = lab != s
     count = np.bincount(doc, minlength=n)
     out = np.zeros((n, SKETCHES), np.uint64)
     full = np.flatnonzero(count)
@@ -101,6 +103,8 @@ def sketch(buf: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], np.ndarra
         for j in range(SKETCHES):
             h = (lab ^ _SEEDS[j]) * _ODD[j]
             h ^= h >> np.uint64(32)
+            if j >= SKETCHES - PLAIN:
+                h[again] = _LAST
             picks, places = [], []
             for _ in range(PICKS):
                 least = np.minimum.reduceat(h, first)

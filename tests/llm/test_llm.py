@@ -74,7 +74,7 @@ def test_leaks(spark, sf, docs):
         n = sum(own.values())
         for d in {d for s in own for d in owners[s]}:
             s = shingles(docs[d])
-            best = max((decontam.similarity(own, collections.Counter(s[k : k + n])) for k in range(len(s) - n + 1)), default=0)
+            best = max((decontam.similarity(own, collections.Counter(s[k : k + n])) for k in range(max(1, len(s) - n + 1))), default=0)
             if best >= 0.8:
                 expect[d, i] = best
     assert set(got) == set(expect)
@@ -94,6 +94,16 @@ def test_leaks_by_blocks_and_edits(spark):
     assert decontam.find_leaks(df, items.limit(0)).count() == 0
 
 
+def test_texts_shorter_than_an_item(spark):
+    base = PROSE.split()[:37]
+    texts = [" ".join(base[:-2]), " ".join(base[1:-1]), " ".join(base[: len(base) // 2]), " ".join(base[:4])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    items = spark.createDataFrame([(0, " ".join(base))], "item_id int, text string")
+    got = {r["doc_id"]: r for r in decontam.find_leaks(df, items, keep=["doc_id"]).collect()}
+    assert set(got) == {0, 1}
+    assert all(math.isclose(r["similarity"], 31 / 33) and texts[d][r["leak_start"] : r["leak_end"]] == texts[d].rstrip(".") for d, r in got.items())
+
+
 def test_blocks_find_all_in_the_radius():
     rng = np.random.default_rng(3)
     a = rng.random((50, decontam.BITS)) < 0.5
@@ -453,6 +463,14 @@ def test_pairs_with_few_shared_sketches_are_tried(spark, size):
     assert {frozenset((ids[2 * i], ids[2 * i + 1])) for i in near} <= got
 
 
+def test_a_line_repeated_many_times(spark):
+    line, rest = PROSE[: len(PROSE) // 4], PROSE
+    df = spark.createDataFrame([(1, rest), (2, f"{(line + chr(10)) * 200}{rest}"), (3, "nothing like it in any of these words here")], "doc_id int, text string")
+    got = {r["doc_id"]: r["class_id"] for r in copies.classes(df).collect()}
+    a, b = (copies.kmers(r["text"]) for r in df.where("doc_id < 3").orderBy("doc_id").collect())
+    assert copies.aligned(a, b) and got == {1: 1, 2: 1, 3: 3}
+
+
 def test_order_counts():
     a = copies.kmers(PROSE)
     assert copies.aligned(a, a) == 1.0
@@ -496,6 +514,17 @@ def test_field(docs):
     assert secretscan.redact(text, secretscan.base_spans(text), "#") == 'x token = "#" y'
 
 
+def test_rest_of_a_secret_is_added():
+    text = 'é password: "abcdef123456$Xy!z" and'
+    base = secretscan.base_spans(text)
+    starts, ends = secretscan._joined(base)
+    at = text.index("abc")
+    assert [text[a:b] for a, b in secretscan._uncovered(text, at, text.index('" and'), starts, ends)] == ["$Xy!z"]
+    assert [text[a:b] for a, b in secretscan._uncovered(text, 0, len(text), starts, ends)] == ["é ", '$Xy!z" and']
+    assert not list(secretscan._uncovered(text, at, ends[0] + 1, starts, ends))
+    assert secretscan._joined([secretscan.Span(1, 0, 5, 1), secretscan.Span(2, 2, 9, 2), secretscan.Span(11, 1, 12, 11)]) == ([1, 11], [9, 12])
+
+
 def test_viterbi_is_exact():
     rng = np.random.default_rng(2)
     for _ in range(30):
