@@ -140,12 +140,23 @@ def test_words_beyond_the_table(spark, sf):
 
 
 def test_probabilities_sum_to_one():
-    v = maxent.vocabulary(np.arange(1, 900, dtype=np.uint64), np.arange(900, 1, -1), 500_000, 2000)
-    rng = np.random.default_rng(0)
-    w = maxent.Weights(rng.normal(0, 1, (maxent.ROWS, maxent.CLASSES)).astype(np.float32), rng.normal(0, 1, (maxent.ROWS, maxent.WITHIN)).astype(np.float32))
-    every = np.arange(maxent.SYMBOLS, dtype=np.int32)
-    features = [np.full(maxent.SYMBOLS, x, np.uint64) for x in (11, 22, 33)]
-    assert math.isclose((10 ** maxent.log10_of(w, v, features, every)).sum(), 1, rel_tol=1e-4)
+    """Over all symbols; and, in place of the symbol of other words, over all of the tree's leaves and what is in each."""
+    rng = np.random.default_rng(2)
+    types = maxent.LEAF * maxent.BRANCH**2
+    size = maxent.BRANCH ** maxent.depth_of(types)
+    assert size == 256 and maxent.depth_of(types - 1) == 1 and maxent.depth_of(0) == 0
+    leaves = rng.integers(900, 9000, size) + np.bincount(np.arange(1, 900) & (size - 1), np.arange(900, 1, -1), size)
+    v = maxent.vocabulary(np.arange(1, 900, dtype=np.uint64), np.arange(900, 1, -1), int(leaves.sum()), types, leaves, np.full(size, 256))
+    zero = maxent.Weights.zero(types)
+    w = maxent.Weights(*(rng.normal(0, 1, a.shape).astype(np.float32) for a in zero))
+    every = np.concatenate([np.delete(np.arange(maxent.SYMBOLS, dtype=np.int32), v.rest), np.full(size, v.rest, np.int32)])
+    leaf = np.concatenate([np.zeros(maxent.SYMBOLS - 1, np.int64), np.arange(size)])
+    features = [np.full(len(every), x, np.uint64) for x in (11, 22, 33)]
+    mass = np.where(every == v.rest, v.leaves[leaf], 1.0)
+    assert math.isclose((mass * 10 ** maxent.log10_of(w, v, features, every, leaf)).sum(), 1, rel_tol=1e-4)
+    plain = 10 ** maxent.log10_of(zero, v, features, every, leaf)[-size:]
+    assert np.allclose(plain, plain[0], rtol=1e-4)  # without weights, a word's share of all other words
+    assert math.isclose(v.leaves.sum(), leaves.sum() + 256 * size + size - (np.arange(900, 1, -1) + 1).sum())
 
 
 # --- passages
