@@ -75,3 +75,8 @@ def fence_label(ext: Column) -> Column:
 
 def is_code(path: Column) -> Column:
     return suffix(path).isin(*CODE)
+
+
+def export_path(node_id: Column, kind: Column) -> Column:
+    """Where a document is exported to: beside its file, in its folder, or at the top."""
+    return F.when(kind == "leaf", F.concat(node_id, F.lit(".md"))).when(node_id == ROOT, F.lit("__project__.md")).otherwise(F.concat(node_id, F.lit("/__folder__.md")))

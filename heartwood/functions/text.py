@@ -49,8 +49,9 @@ def repo_url_ok(url: Column, host: str = "github.com") -> Column:
 
 
 def repo_slug(url: Column, host: str = "github.com") -> Column:
-    """owner-name of a repository's address, or a digest of any other address."""
-    pattern = rf"{re.escape(host)}/([^/]+)/([^/]+?)(?:\.git)?/?$"
+    """owner-name of a repository's address, of either form and with anything after the name, or a digest of any other address."""
+    name_part = r"([^/](?:(?!\.git)[^/])*)"  # ends before a slash or ".git"
+    pattern = rf"{re.escape(host)}[:/]([^/]+)/{name_part}"
     owner, name = F.regexp_extract(url, pattern, 1), F.regexp_extract(url, pattern, 2)
     return F.when(owner != "", F.concat_ws("-", owner, name)).otherwise(F.substring(F.md5(url.cast("binary")), 1, 16))
 
@@ -81,3 +82,18 @@ def fill(template: str, values: Mapping[str, Column]) -> Column:
     """A template with `{{ name }}` places, filled from columns."""
     parts = re.split(r"\{\{\s*(\w+)\s*\}\}", template)
     return F.concat(*(F.lit(p) if i % 2 == 0 else F.coalesce(values[p].cast("string"), F.lit("")) for i, p in enumerate(parts)))
+
+
+def safe_name(repo: Column) -> Column:
+    """A repository's name as one part of a path."""
+    return F.replace(repo, F.lit("/"), F.lit("__"))
+
+
+def fresh(expires: Column, now: Column, minutes: int = 5) -> Column:
+    """Whether a token still holds for some minutes."""
+    return expires > now + F.make_dt_interval(mins=F.lit(minutes))
+
+
+def expiry(issued: Column, minutes: Column, most: int = 10) -> Column:
+    """Epoch second at which a token of so many minutes, most at most, ends."""
+    return issued + F.least(minutes, F.lit(most)) * 60

@@ -26,6 +26,11 @@ def spend(admitted: DataFrame) -> DataFrame:
     return admitted.where("admitted").agg(F.count("*").alias("calls"), F.coalesce(F.max("running"), F.lit(0.0)).alias("spent"))
 
 
+def remaining(spent: Column, ceiling: Column | float = CEILING) -> Column:
+    """What is left of a ceiling, never below 0."""
+    return F.greatest(F.lit(0.0), (F.lit(ceiling) if isinstance(ceiling, float) else ceiling) - spent)
+
+
 def capped(rows: DataFrame, by: str, order: str, cap: int) -> DataFrame:
     """The first rows of each group, with the group's total and whether rows were left out."""
     w = Window.partitionBy(by)

@@ -26,6 +26,13 @@ def snapshot_diff(current: DataFrame, previous: DataFrame, committed: DataFrame
     return both.select(*KEYS, "current_sha", "recorded_sha", (~F.col("current_sha").eqNullSafe(F.col("recorded_sha"))).alias("stale"), deleted.alias("deleted"))
 
 
+def since(current: DataFrame, recorded: DataFrame, base: str | None, ancestors: DataFrame, sha: str = "sha") -> DataFrame:
+    """snapshot_diff against what was recorded at base; where base is not among the ancestors, all of current is
+    stale and nothing deleted."""
+    known = base is not None and not ancestors.where(F.col(sha) == base).isEmpty()
+    return snapshot_diff(current, recorded if known else recorded.limit(0))
+
+
 def changes(diff: DataFrame) -> DataFrame:
     """(repo, path, change): added, modified or deleted leaves."""
     kind = F.when(F.col("deleted"), "deleted").when(F.col("recorded_sha").isNull(), "added").otherwise("modified")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import hashing, paths, text
-from .operators import budget, extract, refresh, reports, search, tree
+from .operators import budget, extract, lookup, refresh, reports, search, tree
 from .operators import diff as d
 from .plans import plan as p
 from .sources import corpus
@@ -293,10 +293,13 @@ def latest_event_per_repo(spark: SparkSession, sf: str) -> DataFrame:
     return ev.latest_by_repo(_events(spark, sf), value="event_id")
 
 
-@query("SELECT page_id, CASE WHEN page_id%2=0 THEN 'owner'||CAST(page_id%7 AS VARCHAR)||'-r'||CAST(page_id AS VARCHAR) ELSE left(md5(url),16) END AS slug, page_id%2=0 AS allowed FROM pages")
+@query("SELECT page_id, CASE WHEN page_id%2=0 THEN 'owner'||CAST(page_id%7 AS VARCHAR)||'-r'||CAST(page_id AS VARCHAR) ELSE left(md5(url),16) END AS slug, page_id%2=0 AND page_id%3=0 AS allowed FROM pages")
 def repo_slug(spark: SparkSession, sf: str) -> DataFrame:
+    """Plain addresses, addresses of another form, and addresses with more after the name."""
     i = F.col("page_id")
-    url = F.when(i % 2 == 0, F.concat(F.lit("https://github.com/owner"), (i % 7).cast("string"), F.lit("/r"), i.cast("string"))).otherwise(F.col("url"))
+    head = F.when(i % 3 == 1, "git@github.com:owner").otherwise("https://github.com/owner")
+    tail = F.when(i % 3 == 0, "").when(i % 3 == 1, ".git").otherwise("/tree/main")
+    url = F.when(i % 2 == 0, F.concat(head, (i % 7).cast("string"), F.lit("/r"), i.cast("string"), tail)).otherwise(F.col("url"))
     return table(spark, sf, "pages").select("page_id", text.repo_slug(url).alias("slug"), text.repo_url_ok(url).alias("allowed"))
 
 
@@ -417,3 +420,140 @@ def verilog_symbols(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT p_partkey AS id, p_partkey%2=0 AS infers_multiplier, 1 AS always_blocks, 1 AS assigns FROM part")
 def verilog_multiplier(spark: SparkSession, sf: str) -> DataFrame:
     return extract.extract_modules(_verilog(spark, sf)).select("id", "infers_multiplier", "always_blocks", "assigns")
+
+
+@query("SELECT o_orderkey, o_orderstatus='O' AND o_orderkey%3=0 AND o_orderkey%5<>0 AS mergeable FROM orders")
+def pr_mergeable(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("o_orderkey")
+    state, can, merged = F.when(F.col("o_orderstatus") == "O", "open").otherwise("closed"), F.when(i % 3 == 0, True).when(i % 3 == 1, False), F.when(i % 5 == 0, True).when(i % 5 == 1, False)
+    return table(spark, sf, "orders").select("o_orderkey", text.mergeable(state, can, merged).alias("mergeable"))
+
+
+@query("SELECT doc_id, sha256(text) IS DISTINCT FROM CASE doc_id%3 WHEN 0 THEN sha256(text) WHEN 1 THEN sha256(text||'x') END AS changed FROM documents")
+def text_changed(spark: SparkSession, sf: str) -> DataFrame:
+    i, t = F.col("doc_id"), F.col("text")
+    return table(spark, sf, "documents").select("doc_id", hashing.has_changed(t, F.when(i % 3 == 0, F.sha2(t, 256)).when(i % 3 == 1, F.sha2(F.concat(t, F.lit("x")), 256))).alias("changed"))
+
+
+@query("SELECT c_custkey, concat_ws(',', CASE WHEN c_custkey%2=1 THEN 'host' END, CASE WHEN c_custkey%3=0 THEN 'port' END, CASE WHEN c_custkey%5<>0 THEN 'database' END) AS missing FROM customer")
+def form_fields(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("c_custkey")
+    body = F.create_map(F.lit("host"), F.when(i % 2 == 0, "h").otherwise(""), F.lit("port"), F.when(i % 3 != 0, "1"), F.when(i % 5 == 0, "database").otherwise("other"), F.lit("d"))
+    return table(spark, sf, "customer").select("c_custkey", F.array_join(text.missing_fields(body, ("host", "port", "database")), ",").alias("missing"))
+
+
+@query("SELECT doc_id, doc_id%4<2 AS refused FROM documents")
+def clone_errors(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("doc_id")
+    error = F.when(i % 4 == 0, F.concat(F.lit("fatal: Authentication failed for "), "source")).when(i % 4 == 1, "ERROR: Repository not found.").when(i % 4 == 2, "timed out")
+    return table(spark, sf, "documents").select("doc_id", text.is_refused(error).alias("refused"))
+
+
+@query(f"WITH {_EV} SELECT event_id, CASE type WHEN 'push' THEN 'a'||CAST(k AS VARCHAR) WHEN 'pull_request' THEN 'h'||CAST(k AS VARCHAR) END AS sha FROM e")
+def commit_ids(spark: SparkSession, sf: str) -> DataFrame:
+    load = F.format_string('{"after":"a%d","pull_request":{"head":{"sha":"h%d"}}}', F.col("k"), F.col("k"))
+    return _events(spark, sf).select("event_id", ev.commit_sha(F.col("type"), load).alias("sha"))
+
+
+@query(f"WITH {_SNAPS}, {_DIFF} SELECT repo, CASE WHEN stale THEN 'regenerated' ELSE 'reused' END AS outcome, count(*) AS n FROM diff WHERE NOT deleted GROUP BY ALL")
+def outcome_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.outcome_counts(leaf_refresh(spark, sf))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey%3=0 THEN 'new' ELSE o_orderstatus END AS status FROM orders WHERE o_orderkey%2=0 OR o_orderkey%3=0")
+def upsert_rows(spark: SparkSession, sf: str) -> DataFrame:
+    from .sources.state import upsert
+
+    rows = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    return upsert(rows.where("o_orderkey % 2 = 0"), rows.where("o_orderkey % 3 = 0").withColumn("status", F.lit("new")), ["o_orderkey"])
+
+
+@query(f"WITH {_SNAPS}, live AS ({_UP('cur')}) SELECT repo, path||'.md' AS target FROM cur UNION ALL SELECT repo, CASE node_id WHEN '.' THEN '__project__.md' ELSE node_id||'/__folder__.md' END FROM live")
+def export_paths(spark: SparkSession, sf: str) -> DataFrame:
+    cur = _both(spark, sf)[0]
+    leaf = cur.select("repo", F.col("path").alias("node_id"), F.lit("leaf").alias("kind"))
+    rows = leaf.unionByName(tree.live_nodes(cur).select("repo", "node_id", F.lit("folder").alias("kind")))
+    return rows.select("repo", paths.export_path(F.col("node_id"), F.col("kind")).alias("target"))
+
+
+@query(f"WITH {_SNAPS}, {_DIFF} SELECT 'unknown' AS base, repo, path, sha AS current_sha, NULL AS recorded_sha, true AS stale, false AS deleted FROM cur UNION ALL SELECT 'known', * FROM diff")
+def diff_from_base(spark: SparkSession, sf: str) -> DataFrame:
+    cur, prev = _both(spark, sf)
+    history = spark.createDataFrame([("c1",), ("c2",)], "sha string")
+    return d.since(cur, prev, "c9", history).withColumn("base", F.lit("unknown")).unionByName(d.since(cur, prev, "c1", history).withColumn("base", F.lit("known")))
+
+
+@query(f"WITH {_SNAPS}, {_DIFF} SELECT repo, path FROM diff WHERE deleted UNION SELECT repo, path FROM prev WHERE path LIKE '%.md'")
+def deleted_history(spark: SparkSession, sf: str) -> DataFrame:
+    cur, prev = _both(spark, sf)
+    return d.snapshot_diff(cur, prev).where("deleted").select("repo", "path").union(prev.where(F.endswith("path", F.lit(".md"))).select("repo", "path")).distinct()
+
+
+@query("SELECT doc_id, CASE doc_id%4 WHEN 0 THEN 'python' WHEN 1 THEN 'javascript' WHEN 2 THEN NULL ELSE 'verilog' END AS processor, doc_id%5<>0 AND strlen(text)<=600 AS readable, CASE WHEN doc_id%3=0 THEN 'second' ELSE 'first' END AS provider FROM documents")
+def processor_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("doc_id")
+    lang = F.when(i % 4 == 0, "Python").when(i % 4 == 1, "TypeScript").when(i % 4 == 2, "markdown").otherwise("VERILOG")
+    named = F.when(i % 3 == 0, "second").when(i % 3 == 1, "unknown")
+    size = F.when(i % 5 != 0, F.octet_length("text"))
+    return table(spark, sf, "documents").select("doc_id", lookup.processor(lang).alias("processor"), lookup.readable(size, 600).alias("readable"), lookup.route(named, ("first", "second")).alias("provider"))
+
+
+@query("SELECT event_id, event_id%12>5 AS fresh, event_id+60*least(event_id%20, 10) AS ends FROM events")
+def token_times(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("event_id")
+    expires = F.col("ts") + F.make_dt_interval(mins=(i % 12).cast("int"))
+    return table(spark, sf, "events").select("event_id", text.fresh(expires, F.col("ts")).alias("fresh"), text.expiry(i, i % 20).alias("ends"))
+
+
+@query("SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey=3 ORDER BY s_suppkey LIMIT 1")
+def status_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    return lookup.first_match(table(spark, sf, "supplier"), F.col("s_nationkey") == 3, "s_suppkey").select("s_suppkey", "s_name")
+
+
+@query("SELECT c_custkey, s.s_name FROM customer LEFT JOIN (SELECT s_nationkey, arg_min(s_name, s_suppkey) AS s_name FROM supplier GROUP BY 1) s ON c_nationkey=s_nationkey")
+def installation_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("s_nationkey"))
+    return lookup.join_first(rows, table(spark, sf, "supplier"), "s_nationkey", "s_suppkey", "s_name").select("c_custkey", "s_name")
+
+
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment IN (SELECT c_mktsegment FROM customer WHERE c_custkey<3)")
+def registered_only(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    return rows.join(rows.where("c_custkey < 3").select("c_mktsegment"), "c_mktsegment", "left_semi").select("c_custkey", "c_mktsegment")
+
+
+@query("SELECT o_orderkey, greatest(0.0::DOUBLE, 100000.0::DOUBLE-CAST(o_totalprice AS DOUBLE)) AS remaining FROM orders")
+def budget_remaining(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "orders").select("o_orderkey", budget.remaining(F.col("o_totalprice").cast("double"), 100000.0).alias("remaining"))
+
+
+@query("""SELECT doc_id, source||'__'||lang AS name, '{"lang":"'||lang||'","n":'||CAST(n_chars AS VARCHAR)||',"source":"'||source||'"}' AS state FROM documents""")
+def stored_names(spark: SparkSession, sf: str) -> DataFrame:
+    own = F.to_json(F.struct("lang", F.col("n_chars").alias("n"), "source"))
+    return table(spark, sf, "documents").select("doc_id", text.safe_name(F.concat_ws("/", "source", "lang")).alias("name"), own.alias("state"))
+
+
+@query(f"WITH {_SNAPS} SELECT repo, path, CAST(row_number() OVER (PARTITION BY repo ORDER BY split_part(path,'/',1), split_part(path,'/',2), split_part(path,'/',3)) AS INT) AS n FROM cur")
+def sorted_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Paths in the order of their parts, which is not that of the strings."""
+    from pyspark.sql import Window
+
+    return _both(spark, sf)[0].select("repo", "path", F.row_number().over(Window.partitionBy("repo").orderBy(F.split("path", "/"))).alias("n"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey%2=0 THEN 'Write all documents' ELSE 'Fix Size '||CAST(p_size AS VARCHAR) END AS title, '# '||p_brand||chr(10)||'size '||CAST(p_size AS VARCHAR) AS body FROM part""")
+def pr_texts(spark: SparkSession, sf: str) -> DataFrame:
+    task = F.when(F.col("p_partkey") % 2 == 0, "all_docs").otherwise(F.concat(F.lit("fix_size_"), F.col("p_size").cast("string")))
+    body = text.fill("# {{ brand }}\nsize {{ size }}", {"brand": F.col("p_brand"), "size": F.col("p_size")})
+    return table(spark, sf, "part").select("p_partkey", text.task_label(task, {"all_docs": "Write all documents"}).alias("title"), body.alias("body"))
+
+
+@query("SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^a-z0-9])the[^a-z0-9]+thing([^a-z0-9]|$)')")
+def phrase_search(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").where(search.phrase("The thing", "text")).select("doc_id")
+
+
+@query(_search_sql(("thing",), "SELECT id, round(rank,6) AS rank FROM k ORDER BY k.rank, id LIMIT 50"))
+def repo_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The first 50 rows of a search."""
+    return search.page(_ranked(spark, sf, "thing"), limit=50).select("id", F.round("rank", 6).alias("rank"))
