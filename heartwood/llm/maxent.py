@@ -48,7 +48,7 @@ HEAD = 1 << 18
 CONTEXT = 1 << 14
 #: The tree of other words: branches of a node, and the least mean number of words of a leaf.
 BRANCH, LEAF = 16, 256
-ROUNDS, BATCH, RATE = 2, 1 << 14, 0.15
+ROUNDS, BATCH, RATE = 2, 1 << 12, 0.15
 BLOCKS, SPREAD = 64, 64
 END, START = np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
 _ROW, _SPREAD = np.uint64(ROWS - 1), np.uint64(0xD6E8FEB86659FD93)
