@@ -29,6 +29,8 @@ FALLBACK = {k: v for k, v in LANGUAGES.items() if k != "verilog"} | {"sql": ".sq
 EXPORT = {"python": ".py", "javascript": ".js", "typescript": ".ts", "java": ".java", "csharp": ".cs", "sql": ".sql", "php": ".php", "ruby": ".rb", "go": ".go", "rust": ".rs", "verilog": ".v .sv .vh .svh"}
 #: Suffixes of code that gets documented, and labels for code fences.
 CODE = (".v", ".vh", ".sv", ".svh", ".svi", ".py", ".js", ".ts", ".go", ".rs", ".java", ".c", ".cpp", ".h")
+# Suffixes of the plain count.
+COUNTED = {"counted": ".py .js .ts .java .cs .sql .php .rb .go .rs"}
 LABELS = {"python": ".py", "typescript": ".ts", "javascript": ".js"}
 
 

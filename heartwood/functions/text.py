@@ -97,3 +97,17 @@ def fresh(expires: Column, now: Column, minutes: int = 5) -> Column:
 def expiry(issued: Column, minutes: Column, most: int = 10) -> Column:
     """Epoch second at which a token of so many minutes, most at most, ends."""
     return issued + F.least(minutes, F.lit(most)) * 60
+
+
+def error_title(error: Column) -> Column:
+    return F.when(F.contains(F.lower(error), F.lit("private repository")), "Private Repository Access").otherwise("Processing Error")
+
+
+def provider_state(healthy: Column, enabled: Column) -> Column:
+    """healthy; unhealthy where it is enabled only; else disabled."""
+    return F.when(healthy, "healthy").when(enabled, "unhealthy").otherwise("disabled")
+
+
+def cost_label(cost: Column) -> Column:
+    """The price of 1,000 tokens; none or 0 is free."""
+    return F.when(F.coalesce(cost, F.lit(0.0)) != 0, F.format_string("$%.4f/1K tokens", cost)).otherwise("Free")

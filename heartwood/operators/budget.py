@@ -33,5 +33,6 @@ def remaining(spent: Column, ceiling: Column | float = CEILING) -> Column:
 
 def capped(rows: DataFrame, by: str, order: str, cap: int) -> DataFrame:
     """The first rows of each group, with the group's total and whether rows were left out."""
-    w = Window.partitionBy(by)
-    return rows.withColumn("total", F.count("*").over(w)).withColumn("n", F.row_number().over(w.orderBy(order))).where(F.col("n") <= cap).withColumn("truncated", F.col("total") > cap)
+    first = rows.withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy(order))).where(F.col("n") <= cap)  # each task keeps its own first rows before the shuffle
+    total = rows.groupBy(F.col(by).alias("__by")).agg(F.count("*").alias("total"))
+    return first.join(total, F.col(by).eqNullSafe(F.col("__by"))).select(*rows.columns, "total", "n").withColumn("truncated", F.col("total") > cap)

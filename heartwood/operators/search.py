@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.state import cut
+
 # The ranking's constants, the weights of its columns and the least weight of a term.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 WEIGHTS = {"name": 10.0, "summary": 5.0, "content": 1.0}
@@ -43,6 +45,31 @@ def bm25(docs: DataFrame, query: str, key: str = "id", weights: dict[str, float]
     return both.select(key, (-score).alias("rank"))
 
 
+def index(docs: DataFrame, key: str = "id", weights: dict[str, float] = WEIGHTS) -> tuple[DataFrame, DataFrame]:
+    """(term, key, freq) and (key, len) of all rows, written once for any number of queries.
+
+    The first is sorted by term, so that a query reads the row groups of its terms.
+    """
+    split = lambda c: F.array_remove(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), SEPARATORS), "")
+    each = docs.select(key, *(split(c).alias(f"t_{c}") for c in weights))
+    lengths = cut(each.select(key, reduce(lambda a, b: a + b, (F.size(f"t_{c}") for c in weights)).alias("len")))
+    parts = F.concat(*(F.transform(f"t_{c}", lambda t: F.struct(t.alias("term"), F.lit(w).alias("w"))) for c, w in weights.items()))
+    counted = each.select(key, F.explode(parts).alias("x")).groupBy(key, "x.term").agg(F.sum("x.w").alias("freq"))
+    return cut(counted.repartitionByRange("term", key).sortWithinPartitions("term", key)), lengths
+
+
+def lookup(terms_of: DataFrame, lengths: DataFrame, query: str, key: str = "id") -> DataFrame:
+    """bm25() from an index()."""
+    want = terms(query)
+    hits = terms_of.where(F.col("term").isin(want)) if want else terms_of.limit(0)
+    figures = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
+    held = hits.groupBy("term").agg(F.count("*").alias("nt"))  # a row for each term of the query
+    rows = hits.join(F.broadcast(held), "term").join(lengths, key).crossJoin(F.broadcast(figures))  # one row
+    idf = F.greatest(F.log((F.col("n") - F.col("nt") + 0.5) / (F.col("nt") + 0.5)), F.lit(LEAST_IDF))
+    part = idf * F.col("freq") * (K1 + 1) / (F.col("freq") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
+    return rows.groupBy(key).agg((-F.sum(part)).alias("rank"), F.count("*").alias("__n")).where(F.col("__n") == len(want)).drop("__n")
+
+
 def page(ranked: DataFrame, key: str = "id", limit: int = 20, offset: int = 0) -> DataFrame:
     """A page of ranked rows with `total` and `has_more`."""
     total = ranked.agg(F.count("*").alias("total"))

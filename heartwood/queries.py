@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import hashing, paths, text
 from .operators import budget, extract, lookup, refresh, reports, search, tree
 from .operators import diff as d
+from .plans import jobs
 from .plans import plan as p
 from .sources import corpus
 from .sources.corpus import table
@@ -557,3 +558,48 @@ def phrase_search(spark: SparkSession, sf: str) -> DataFrame:
 def repo_search(spark: SparkSession, sf: str) -> DataFrame:
     """The first 50 rows of a search."""
     return search.page(_ranked(spark, sf, "thing"), limit=50).select("id", F.round("rank", 6).alias("rank"))
+
+
+@query(_search_sql(("the", "thing"), "SELECT id, round(rank,6) AS rank FROM k"))
+def bm25_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """A search by a written index."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("name"), F.left("text", F.lit(60)).alias("summary"), F.col("text").alias("content"))
+    return search.lookup(*search.index(docs), "the thing").withColumn("rank", F.round("rank", 6))
+
+
+@query(f"""WITH {_SNAPS}, {_DIFF}, {_PLAN}, work AS (SELECT repo, id, action, phase, row_number() OVER (PARTITION BY repo ORDER BY phase,
+ (CASE WHEN phase=2 THEN (CASE WHEN id='.' THEN -1 ELSE length(id)-length(replace(id,'/','')) END) ELSE 0 END) DESC, CASE WHEN phase=1 THEN id END, id DESC) AS ord FROM plan WHERE action<>'delete')
+SELECT repo, id, action, phase, CAST(ord AS INT) AS ord, CAST(0.25*ord AS DOUBLE) AS running, 0.25*ord<=9 AS admitted FROM work
+UNION ALL SELECT repo, id, action, phase, NULL, NULL, true FROM plan WHERE action='delete'""")
+def run_outlook(spark: SparkSession, sf: str) -> DataFrame:
+    """What a run would do under a ceiling for each repository."""
+    todo = p.refresh_plan(*_both(spark, sf))
+    return jobs.planned(todo, 9.0, 0.25, ("repo",)).select("repo", "id", "action", "phase", F.col("ord").cast("int").alias("ord"), "running", "admitted")
+
+
+@query(f"""WITH {_EV}, g AS (SELECT repo, ts, CASE type WHEN 'push' THEN 'a'||CAST(event_id AS VARCHAR) ELSE 'h'||CAST(event_id AS VARCHAR) END AS sha FROM e WHERE enabled
+ AND (type='push' AND (NOT starts_with(ref,'refs/heads/') OR ref='refs/heads/main') OR type='pull_request' AND action IN ('opened','synchronize') AND base='main'))
+SELECT repo, max(ts) AS ts, arg_max(sha, (ts, sha)) AS sha FROM g GROUP BY repo""")
+def event_work(spark: SparkSession, sf: str) -> DataFrame:
+    """The commits that events ask to be documented."""
+    i = F.col("event_id")
+    head = F.struct(F.struct(F.concat(F.lit("h"), i).alias("sha")).alias("head"), F.struct(F.col("base").alias("ref")).alias("base"))
+    load = F.to_json(F.struct(F.concat(F.lit("a"), i).alias("after"), "ref", "action", head.alias("pull_request")))
+    return jobs.wanted(_events(spark, sf).withColumn("payload", load), F.array(F.lit("main")), F.lit("docs"))
+
+
+@query("""SELECT s_suppkey, CASE s_suppkey%3 WHEN 0 THEN 'healthy' WHEN 1 THEN 'unhealthy' ELSE 'disabled' END AS state, CASE WHEN s_suppkey%4=0 OR s_suppkey%5=0 THEN 'Free' ELSE printf('$%.4f/1K tokens', s_suppkey%4*0.25) END AS cost,
+ CASE WHEN s_suppkey%2=0 THEN 'Private Repository Access' ELSE 'Processing Error' END AS title FROM supplier""")
+def provider_labels(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("s_suppkey")
+    error = F.when(i % 2 == 0, "this is a Private repository").when(i % 3 == 0, "timed out")
+    return table(spark, sf, "supplier").select(
+        "s_suppkey", text.provider_state(i % 3 == 0, i % 3 == 1).alias("state"), text.cost_label(F.when(i % 5 != 0, (i % 4 * 0.25).cast("double"))).alias("cost"), text.error_title(error).alias("title")
+    )
+
+
+@query(f"WITH {_SNAPS} SELECT repo, count(*) FILTER (path LIKE '%.py' OR path LIKE '%.js') AS total_files FROM cur GROUP BY repo")
+def fallback_count(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of the suffixes that are counted where no analysis is at hand, whatever their size."""
+    known = paths.language(paths.suffix(F.col("path")), paths.COUNTED) != "unknown"
+    return _both(spark, sf)[0].groupBy("repo").agg(F.count_if(known).alias("total_files"))

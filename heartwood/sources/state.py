@@ -47,8 +47,13 @@ def release(*tables: DataFrame) -> None:
     """Delete tables that cut() returned and that nothing will read again."""
     for df in tables:
         if path := _folders.pop(df, None):
-            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+            remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder with what it holds."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 def latest(rows: DataFrame, keys: list[str], version: str) -> DataFrame:

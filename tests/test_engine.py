@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from heartwood.functions import hashing, paths, text
 from heartwood.operators import budget, diff, extract, search, tree
-from heartwood.plans import plan, run
+from heartwood.plans import jobs, plan, run
 from heartwood.sources import files as sources
 from heartwood.sources.state import Store
 from heartwood.streaming import events
@@ -219,3 +219,43 @@ def test_scan(spark, tmp_path):
 def test_templates(spark):
     df = spark.range(1).select(text.fill("name: {{ n }}!", {"n": F.lit("x")}).alias("a"), text.task_label(F.lit("make_it")).alias("b"))
     assert tuple(df.first()) == ("name: x!", "Make It")
+
+
+def test_outlook(spark, tmp_path):
+    store, files = Store(spark, f"file://{tmp_path}/s"), frame(spark, TREE)
+    rows = jobs.outlook(store, files, ceiling=0.25, price=0.10).collect()
+    assert len(rows) == 4 + 4 and sum(x["admitted"] for x in rows) == 2
+    known = sources.snapshot(frame(spark, TREE | {"README.md": "old"}), F.col("repo"))
+    assert {x["id"] for x in jobs.outlook(store, files, known).where("phase = 1").collect()} == {"README.md"}
+    assert store.state()[0] == 0  # nothing is done
+    gen, syn = (lambda p, t: f"U{p}{t}"), (lambda n, kids: f"S{n}{sorted(kids)}")
+    run.run(store, files, "c1", gen, syn, native=False)
+    assert jobs.outlook(store, files, known).count() == 0  # the store's own record counts
+
+
+def test_preview(spark, tmp_path):
+    gen, syn = (lambda p, t: f"U{p}{t}"), (lambda n, kids: f"S{n}{sorted(kids)}")
+    got = jobs.preview(frame(spark, TREE), gen, syn, most=2, native=False)
+    assert (got.total, got.capped, got.truncated) == (3, 2, True)
+    assert {x["path"] for x in got.result.leaf_docs.collect()} == {"pkg/api/handler.py", "pkg/core/engine.py"}
+    with pytest.raises(ValueError):
+        jobs.preview(frame(spark, {"README.md": "r"}), gen, syn)
+
+
+def test_jobs_of_events(spark, tmp_path):
+    push = lambda ref, sha: f'{{"ref":"{ref}","after":"{sha}"}}'
+    rows = [("push", "o/a", True, 1, push("refs/heads/main", "a1")), ("push", "o/a", True, 2, push("refs/heads/main", "a2")), ("push", "o/a", True, 3, push("refs/heads/dev", "a3")), ("push", "o/b", False, 1, push("refs/heads/main", "b1")), ("push", "o/c", True, 1, push("refs/heads/main", "c1"))]
+    batch = spark.createDataFrame(rows, "type string, repo string, enabled boolean, ts long, payload string")
+    gen, syn = (lambda p, t: f"U{p}{t}"), (lambda n, kids: f"S{n}{sorted(kids)}")
+
+    def load(repo, sha):
+        if repo == "o/c":
+            raise OSError("no such repository")
+        return frame(spark, TREE, repo)
+
+    base = f"file://{tmp_path}/jobs"
+    handle = jobs.handler(base, load, gen, syn, native=False)
+    handle(batch, 0)
+    handle(batch, 1)
+    got = {(x["repo"], x["batch"]): (x["sha"], x["status"], x["regenerated"], x["resynthesized"], x["error"]) for x in spark.read.parquet(f"{base}/status").collect()}
+    assert got == {("o/a", 0): ("a2", "generated", 4, 4, None), ("o/a", 1): ("a2", "noop", 0, 0, None), ("o/c", 0): ("c1", "error", 0, 0, "no such repository"), ("o/c", 1): ("c1", "error", 0, 0, "no such repository")}
