@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, copies, decontam, maxent, passages, pieces, quality, render, rules, secretscan
+from ..sources.state import shared_dir
+from . import chat, copies, decontam, maxent, passages, pieces, quality, render, rules, secretscan, warc
 from .common import fold_of, table
 
 
@@ -78,7 +80,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_field")
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures of pages, written to archives and read back from them."""
+    pages = table(spark, sf_dir, "pages")
+    path = f"{shared_dir(spark)}/heartwood-warc-{uuid.uuid4().hex}"
+    warc.write_archives(pages, path)
+    return warc.read_back(spark, path, pages.schema["page_id"].dataType.simpleString())
+
+
+_OP11 = """WITH p AS (SELECT page_id, coalesce(html,'') AS h FROM pages), d AS (SELECT page_id, h, strlen(h) AS n, CASE WHEN strlen(h)>=1000 THEN max(page_id) OVER (PARTITION BY h) END AS m FROM p)
+SELECT page_id, n AS payload_bytes, sha1(encode(h)) AS payload_digest, CASE WHEN m<>page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN m<>page_id THEN m END AS refers_to FROM d"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_maxent, op3_passages, op4_render_html, op5_quality, op6_outliers, op7_chat, op8_pieces, op9_near_copies, op10_secrets)
+    f.__name__: f for f in (op1_decontaminate, op2_maxent, op3_passages, op4_render_html, op5_quality, op6_outliers, op7_chat, op8_pieces, op9_near_copies, op10_secrets, op11_warc)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_warc": _OP11}
