@@ -45,7 +45,13 @@ SHIFT = 2000 * 365 * DAY
 SENTINEL = 200_000 * 365 * DAY
 #: Keys that late rows are dealt to.
 LATE_KEYS = 256
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Of the stream: the operator's store; a batch's watermark counts from the next start; as each start
+#: loads its stores anew, executors keep none after a commit, whose folders would stay on their disks.
+SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 ROWS = "record string, kind string, hour bigint, click_id bigint, n_rows bigint, cents bigint"
 FEED = "click_id bigint, kind string, hour bigint, cents bigint, mark timestamp, batch int"
 MICROS = 1_000_000
@@ -172,10 +178,10 @@ def revisions(clicks: DataFrame, batches: int = BATCHES) -> DataFrame:
     feed = spark.read.schema(FEED).parquet(f"{base}/feed")
     most = {r["batch"]: r["m"] for r in feed.where("kind IS NOT NULL").groupBy("batch").agg(F.max(F.unix_micros("mark")).alias("m")).collect()}
     spark._jvm.org.apache.hadoop.fs.Path(f"{base}/in").getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).mkdirs(spark._jvm.org.apache.hadoop.fs.Path(f"{base}/in"))
-    before = {k: spark.conf.get(k, None) for k in ("spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.noDataMicroBatches.enabled")}
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # the watermark of a batch counts from the next start
+    before = {k: spark.conf.get(k, None) for k in SETTINGS}
     try:
+        for k, v in SETTINGS.items():
+            spark.conf.set(k, v)
         for b in range(batches + 1):
             _move(spark, f"{base}/feed/batch={b}", f"{base}/in/batch={b}")
             _start(spark, base, b, batches, max((m for k, m in most.items() if k < b), default=None))
