@@ -252,7 +252,7 @@ class Phrases:
             cuts = np.concatenate([[0], np.searchsorted(_packed(keys), bounds.value, side="right"), [len(keys)]])
             full = np.flatnonzero(np.diff(cuts))
             data, small = np.ascontiguousarray(keys, ">u2"), n.astype(np.uint32)
-            blobs = [data[cuts[p] : cuts[p + 1]].tobytes() for p in full]
+            blobs = [data[cuts[p] : cuts[p + 1]].T.tobytes() for p in full]  # digit by digit, whose runs compress
             return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(blobs, pa.binary()), pa.array([small[cuts[p] : cuts[p + 1]].tobytes() for p in full], pa.binary())], ["part", "keys", "n"])
 
         def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,8 +267,8 @@ class Phrases:
                 yield dealt(*count_runs(np.concatenate(held)))
 
         def merge(table: pa.Table) -> pa.Table:
-            blobs, counts = (b"".join(x.as_py() for x in table[c]) for c in ("keys", "n"))
-            keys, n = count_runs(np.frombuffer(blobs, ">u2").reshape(-1, digits).astype(np.uint16), np.frombuffer(counts, np.uint32).astype(np.int64))
+            blobs = [np.frombuffer(x.as_py(), ">u2").astype(np.uint16).reshape(digits, -1).T for x in table["keys"]]
+            keys, n = count_runs(np.concatenate(blobs), np.frombuffer(b"".join(x.as_py() for x in table["n"]), np.uint32).astype(np.int64))
             out, sizes, sums = [], [], []
             new = np.zeros(len(keys), bool)
             new[:1] = True
