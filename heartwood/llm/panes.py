@@ -46,11 +46,13 @@ SENTINEL = 200_000 * 365 * DAY
 #: Keys that late rows are dealt to.
 LATE_KEYS = 256
 #: Of the stream: the operator's store; a batch's watermark counts from the next start; as each start
-#: loads its stores anew, executors keep none after a commit, whose folders would stay on their disks.
+#: loads its stores anew, executors keep none after a commit, whose folders would stay on their disks; and a
+#: commit writes what has changed.
 SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 ROWS = "record string, kind string, hour bigint, click_id bigint, n_rows bigint, cents bigint"
 FEED = "click_id bigint, kind string, hour bigint, cents bigint, mark timestamp, batch int"
@@ -172,7 +174,10 @@ def revisions(clicks: DataFrame, batches: int = BATCHES) -> DataFrame:
     spark = clicks.sparkSession
     base = f"{shared_dir(spark)}/heartwood-panes-{uuid.uuid4().hex}"
     beats = spark.range(batches + 1, numPartitions=1).select(*(F.lit(None).cast(t).alias(c) for c, t in (("click_id", "bigint"), ("kind", "string"), ("hour", "bigint"), ("cents", "bigint"))), F.timestamp_millis(F.when(F.col("id") == batches - 1, F.lit(SENTINEL)).otherwise(F.lit(0))).alias("mark"), F.col("id").cast("int").alias("batch"))
-    rows = batch_rows(clicks, batches).hint("rebalance", "batch")
+    # as many files as shuffle partitions in all; a batch has several, so that none gathers in one task
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    deal = F.pmod(F.xxhash64("click_id"), F.lit(max(2, parts // batches)))
+    rows = batch_rows(clicks, batches).repartition(F.col("batch"), deal)
     rows.unionByName(beats).write.partitionBy("batch").parquet(f"{base}/feed")
     # a row for each batch: the greatest time of those before it, which is the stream's watermark there
     feed = spark.read.schema(FEED).parquet(f"{base}/feed")
