@@ -65,11 +65,14 @@ def refresh_nodes(nodes: DataFrame, stale: DataFrame, leaf_docs: DataFrame, cach
     deepest = todo.agg(F.max("depth")).first()[0]
     as_kids = lambda df: df.where(F.col("node_id") != paths.ROOT).select("repo", paths.parent(F.col("node_id")).alias("node_id"), F.col("node_id").alias("id"), "doc")
     kids_of = leaf_docs.where("doc IS NOT NULL").select("repo", paths.parent(F.col("path")).alias("node_id"), F.col("path").alias("id"), "doc").unionByName(as_kids(kept))
+    # documents that a folder to be made will see, once, by their folder's level
+    kids_of = cut(kids_of.join(todo.select("repo", "node_id", F.col("depth").alias("at")), ["repo", "node_id"])) if deepest is not None else kids_of
     below, out = None, kept.withColumn("outcome", F.lit("reused"))
     for level in range(deepest, -2, -1) if deepest is not None else []:
         own = todo.where(F.col("depth") == level).select("repo", "node_id")
         # a folder's children are leaves, reused folders and those that the level below has made
-        kids = own.join(kids_of if below is None else kids_of.unionByName(as_kids(below)), ["repo", "node_id"], "left")
+        here = kids_of.where(F.col("at") == level).drop("at")
+        kids = own.join(here if below is None else here.unionByName(as_kids(below)), ["repo", "node_id"], "left")
         packed = kids.groupBy("repo", "node_id").agg(F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("id", "doc")))).alias("kids"))
         if native:
             made = packed.select("repo", "node_id", synthesizer(F.col("node_id"), F.col("kids")).alias("doc"))

@@ -17,15 +17,26 @@ def live_nodes(leaves: DataFrame) -> DataFrame:
     return leaves.select("repo", F.explode(paths.ancestors(F.col("path"))).alias("node_id")).distinct()
 
 
-def node_hashes(leaves: DataFrame) -> DataFrame:
+def node_hashes(leaves: DataFrame, repos: DataFrame | None = None) -> DataFrame:
     """(repo, node_id, parent_id, depth, kind, node_hash) of leaves and folders.
 
-    Folded level by level from the deepest folders: one aggregation by parent
+    repos, a table of `repo`, names those that have a root even without leaves: its
+    hash is that of its id alone. Folded level by level from the deepest folders: one aggregation by parent
     each, over leaves and the level below.
     """
     flat = leaves.select("repo", F.col("path").alias("node_id"), paths.parent(F.col("path")).alias("parent_id"), F.col("blob_sha").alias("node_hash"))
     flat = cut(flat.withColumn("at", paths.depth(F.col("parent_id"))))  # the items' contents are read and hashed once
     deepest = flat.agg(F.max("at")).first()[0]
+    out = _folded(flat, deepest)
+    if repos is None:
+        return out
+    none = F.lit(None).cast("string")
+    bare = repos.select("repo").distinct().join(flat.select("repo").distinct(), "repo", "left_anti")
+    roots = bare.select("repo", F.lit(paths.ROOT).alias("node_id"), none.alias("parent_id"), F.lit(-1).alias("depth"), F.lit("project").alias("kind"), F.sha2(F.lit(paths.ROOT), 256).alias("node_hash"))
+    return out.unionByName(roots)
+
+
+def _folded(flat: DataFrame, deepest: int | None) -> DataFrame:
     out = flat.select("repo", "node_id", "parent_id", paths.depth(F.col("node_id")).alias("depth"), F.lit("leaf").alias("kind"), "node_hash")
     if deepest is None:
         return out

@@ -259,3 +259,99 @@ def test_jobs_of_events(spark, tmp_path):
     handle(batch, 1)
     got = {(x["repo"], x["batch"]): (x["sha"], x["status"], x["regenerated"], x["resynthesized"], x["error"]) for x in spark.read.parquet(f"{base}/status").collect()}
     assert got == {("o/a", 0): ("a2", "generated", 4, 4, None), ("o/a", 1): ("a2", "noop", 0, 0, None), ("o/c", 0): ("c1", "error", 0, 0, "no such repository"), ("o/c", 1): ("c1", "error", 0, 0, "no such repository")}
+
+
+# --- the store
+
+
+LEAVES = "repo string, path string, blob_sha string"
+
+
+def leaves_of(spark, items, repo="r"):
+    return spark.createDataFrame([(repo, p, s) for p, s in items.items()], LEAVES)
+
+
+def written(spark, tmp_path, store, name):
+    return spark.read.parquet(f"{store.state()[1]}/{name}").count()
+
+
+def test_store_writes_what_changed(spark, tmp_path):
+    """Rows changed, added and gone; reads at any version equal whole tables; whole tables now and then."""
+    store, rng = Store(spark, f"file://{tmp_path}/s"), __import__("random").Random(2)
+    items, kept, sizes = {f"p{i}": "0" for i in range(20)}, {}, []
+    for version in range(1, 15):
+        store.commit({"leaf_sha": leaves_of(spark, items)}, f"c{version}")
+        kept[version] = dict(items)
+        sizes.append(written(spark, tmp_path, store, "leaf_sha"))
+        items[f"p{rng.randrange(20)}"] = str(version)
+        if version == 3:
+            del items[rng.choice(sorted(items))]
+        if version == 6:
+            items = {}
+    assert sizes[0] == 20 and sizes[1] == 1 and sizes[3] <= 2 and sizes[6] >= 19 and max(sizes[7:]) <= len(kept[14])
+    for version, expect in kept.items():
+        assert {r["path"]: r["blob_sha"] for r in store.read("leaf_sha", LEAVES, version=version).collect()} == expect
+    assert store.state()[0] == 14 and store.state()[2] == "c14"
+
+
+def test_of_two_commits_one_is_refused(spark, tmp_path):
+    from heartwood.sources.state import Conflict
+
+    a, b = (Store(spark, f"file://{tmp_path}/s") for _ in range(2))
+    a.commit({"leaf_sha": leaves_of(spark, {"x": "1"})}, "c1")
+    b.refresh()
+    a.commit({"leaf_sha": leaves_of(spark, {"x": "2"})}, "c2")
+    with pytest.raises(Conflict):
+        b.commit({"leaf_sha": leaves_of(spark, {"x": "3"})}, "c3")
+    assert [r["blob_sha"] for r in b.read("leaf_sha", LEAVES, version=b.refresh()).collect()] == ["2"]
+    b.commit({"leaf_sha": leaves_of(spark, {"x": "3"})}, "c3")
+    assert Store(spark, f"file://{tmp_path}/s").state()[::2] == (3, "c3")
+
+
+def test_commit_for_some_repositories(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    store.commit({"leaf_sha": leaves_of(spark, {"x": "1", "y": "1"}, "a").union(leaves_of(spark, {"x": "1"}, "b"))}, "c1")
+    store.commit({"leaf_sha": leaves_of(spark, {"x": "2"}, "a")}, "c2", repos=spark.createDataFrame([("a",)], "repo string"))
+    assert {(r["repo"], r["path"], r["blob_sha"]) for r in store.read("leaf_sha", LEAVES).collect()} == {("a", "x", "2"), ("b", "x", "1")}
+
+
+@pytest.mark.parametrize("ceiling", [None, 5.0])
+def test_a_failed_edit_keeps_the_last_good_document(spark, tmp_path, ceiling):
+    store = Store(spark, f"file://{tmp_path}/s")
+
+    def gen(p, t):
+        if t == "bad":
+            raise ValueError("no")
+        return f"U{t}"
+
+    syn = lambda n, kids: f"S{n}{sorted(kids.items())}"
+    go = lambda tree, sha: run.run(store, frame(spark, tree), sha, gen, syn, native=False, ceiling=ceiling)
+    go({"a/x.py": "1", "a/y.py": "2", "b/z.py": "3"}, "c1")
+    broken = go({"a/x.py": "bad", "a/y.py": "4", "b/z.py": "3"}, "c2")
+    assert broken.failed and store.state()[2] == "c1"
+    docs = {r["path"]: r["doc"] for r in store.read("unit_doc", run.DOC).collect()}
+    assert docs == {"a/x.py": "U1", "a/y.py": "U4", "b/z.py": "U3"}
+    folders = {r["node_id"]: r["doc"] for r in store.read("folder_doc", run.NODE_DOC).collect()}
+    assert folders["a"] == "Sa[('a/x.py', 'U1'), ('a/y.py', 'U4')]"
+    assert {r["id"] for r in go({"a/x.py": "bad", "a/y.py": "4", "b/z.py": "3"}, "c3").plan.collect()} == {"a/x.py", "a", "."}
+    mended = go({"a/x.py": "5", "a/y.py": "4", "b/z.py": "3"}, "c4")
+    assert not mended.failed and mended.calls == 3 and store.state()[2] == "c4"
+    assert go({"a/x.py": "5", "a/y.py": "4", "b/z.py": "3"}, "c5").noop
+
+
+def test_trees_without_leaves(spark, tmp_path):
+    repos = spark.createDataFrame([("r",), ("s",)], "repo string")
+    nodes = {(x["repo"], x["node_id"]): x["node_hash"] for x in tree.node_hashes(leaves_of(spark, {"a": "1"}), repos).collect()}
+    assert nodes["s", "."] == hashlib.sha256(b".").hexdigest() and nodes["r", "."] == folded({"a": "1"})["."] and len(nodes) == 3
+    store = Store(spark, f"file://{tmp_path}/s")
+    assert run.run(store, frame(spark, {}), "c1", F.col("text"), lambda n, k: n).noop and store.state()[::2] == (1, "c1")
+
+
+def test_one_ceiling_over_many_ranges(spark):
+    """Prefix sums of two levels admit what one window does."""
+    rows = spark.range(500).select(F.lit(1).alias("phase"), F.lit("r").alias("repo"), ((F.col("id") * 7919) % 500).cast("int").alias("ord"), (F.col("id") % 13 * 0.25).alias("cost"))
+    order = ("phase", "repo", "ord")
+    pick = lambda df: [(r["ord"], r["running"], r["admitted"]) for r in df.orderBy("ord").collect()]
+    for ceiling in (0.0, 100.25, 1e6):
+        assert pick(budget.admit_all(rows, "cost", ceiling, order, parts=7)) == pick(budget.admit(rows, "cost", ceiling, order))
+    assert budget.admit_all(rows.limit(0), "cost", 1.0, order).count() == 0
