@@ -44,16 +44,28 @@ def is_blank(text: Column) -> Column:
     return text.rlike(r"(?U)^\s*$")
 
 
+def _name_chars(part: Column) -> Column:
+    """Whether a part of an address is made of letters, digits, underscores, dots and hyphens, of which there is one."""
+    return part.rlike(r"(?U)^[\w.-]+$")
+
+
 def repo_url_ok(url: Column, host: str = "github.com") -> Column:
-    return url.rlike(rf"(?U)^https://{re.escape(host)}/[\w.-]+/[\w.-]+/?$")
+    """Whether an address is https, the host, an owner and a name, and nothing more than a last slash."""
+    parts = F.split(url, "/")
+    part = lambda i: F.get(parts, F.lit(i))
+    ends = (F.size(parts) == 5) | ((F.size(parts) == 6) & (part(5) == ""))
+    return (part(0) == "https:") & (part(1) == "") & (part(2) == host) & ends & F.coalesce(_name_chars(part(3)) & _name_chars(part(4)), F.lit(False))
 
 
 def repo_slug(url: Column, host: str = "github.com") -> Column:
     """owner-name of a repository's address, of either form and with anything after the name, or a digest of any other address."""
-    name_part = r"([^/](?:(?!\.git)[^/])*)"  # ends before a slash or ".git"
-    pattern = rf"{re.escape(host)}[:/]([^/]+)/{name_part}"
-    owner, name = F.regexp_extract(url, pattern, 1), F.regexp_extract(url, pattern, 2)
-    return F.when(owner != "", F.concat_ws("-", owner, name)).otherwise(F.substring(F.md5(url.cast("binary")), 1, 16))
+    places = [F.substring_index(url, host + mark, 1) for mark in "/:"]
+    head = F.when(F.length(places[0]) <= F.length(places[1]), places[0]).otherwise(places[1])  # what stands before the host
+    tail = F.substring(url, F.length(head) + F.lit(len(host) + 2), F.length(url))
+    parts = F.split(tail, "/")
+    owner, name = F.get(parts, F.lit(0)), F.substring_index(F.get(parts, F.lit(1)), ".git", 1)
+    good = (F.length(head) < F.length(url)) & (F.coalesce(owner, F.lit("")) != "") & (F.coalesce(name, F.lit("")) != "")
+    return F.when(good, F.concat_ws("-", owner, name)).otherwise(F.substring(F.md5(url.cast("binary")), 1, 16))
 
 
 def percent(part: Column, whole: Column) -> Column:

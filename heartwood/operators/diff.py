@@ -39,8 +39,8 @@ def changes(diff: DataFrame) -> DataFrame:
     return diff.where("stale").select(*KEYS, kind.alias("change"))
 
 
-def name_status(lines: DataFrame, line: str = "line") -> DataFrame:
-    """(path, change) from lines of a name-status listing: the old name of a rename is deleted, its new one changed."""
+def name_status(lines: DataFrame, line: str = "line", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(path, change), with columns of keep, from lines of a name-status listing: the old name of a rename is deleted, its new one changed."""
     parts = F.split(F.col(line), "\t")
     kind = F.substring(parts[0], 1, 1)
     last = F.element_at(parts, -1)
@@ -50,4 +50,4 @@ def name_status(lines: DataFrame, line: str = "line") -> DataFrame:
         .when((kind == "R") & (F.size(parts) >= 3), F.array(item(parts[1], "deleted"), item(last, "changed")))
         .otherwise(F.array(item(last, "changed")))
     )
-    return lines.where(F.size(parts) >= 2).select(F.explode(rows).alias("r")).select("r.path", "r.change").distinct()
+    return lines.where(F.size(parts) >= 2).select(*keep, F.explode(rows).alias("r")).select(*keep, "r.path", "r.change").distinct()

@@ -77,8 +77,80 @@ def page(ranked: DataFrame, key: str = "id", limit: int = 20, offset: int = 0) -
     return rows.crossJoin(F.broadcast(total)).withColumn("has_more", F.col("total") > offset + limit)
 
 
+def postings(docs: DataFrame, column: str, key: str = "id") -> DataFrame:
+    """(term, key, at): where each term of a column stands, written once and sorted by term, so that a query reads its terms' row groups."""
+    words = F.array_remove(F.split(F.lower(F.coalesce(F.col(column), F.lit(""))), SEPARATORS), "")
+    each = docs.select(key, F.posexplode(words).alias("at", "term"))
+    held = each.groupBy("term", key).agg(F.sort_array(F.collect_list("at")).alias("at"))
+    return cut(held.repartitionByRange("term", key).sortWithinPartitions("term", key))
+
+
+def with_term(index: DataFrame, term: str, key: str = "id") -> DataFrame:
+    """(key, at) of rows with a term, whose places are in order; a last `*` makes it a prefix."""
+    want = terms(term)
+    if len(want) != 1:
+        return index.select(key, "at").limit(0)
+    if not term.rstrip().endswith("*"):
+        return index.where(F.col("term") == want[0]).select(key, "at")
+    upto = want[0][:-1] + chr(ord(want[0][-1]) + 1)  # a range of terms, which a scan's statistics can prune
+    some = index.where((F.col("term") >= want[0]) & (F.col("term") < upto))
+    return some.groupBy(key).agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("at"))
+
+
+def _sides(index: DataFrame, text: str, key: str) -> list[DataFrame]:
+    want = [t for t in re.split(SEPARATORS, text.lower()) if t]
+    last = "*" if text.rstrip().endswith("*") else ""
+    return [with_term(index, t + (last if i == len(want) - 1 else ""), key) for i, t in enumerate(want)]
+
+
+def with_phrase(index: DataFrame, text: str, key: str = "id") -> DataFrame:
+    """(key, at) of rows that hold a text's terms next to each other, in order; at is where phrases begin. A text without terms has none."""
+    sides = _sides(index, text, key)
+    if not sides:
+        return index.select(key, "at").limit(0)
+    out = sides[0]
+    for i, side in enumerate(sides[1:], 1):
+        shifted = side.select(key, F.transform("at", lambda x: x - F.lit(i)).alias("next"))  # noqa: B023
+        out = out.join(shifted, key).select(key, F.array_intersect("at", "next").alias("at")).where(F.size("at") > 0)
+    return out
+
+
+def with_near(index: DataFrame, text: str, within: int = 10, key: str = "id") -> DataFrame:
+    """(key, at) of rows that hold all terms of a text in some order with at most `within` others between first and last.
+
+    at is where such runs begin: some term's place from which each of the others has one no more than within + terms - 1 on.
+    """
+    sides = _sides(index, text, key)
+    if not sides:
+        return index.select(key, "at").limit(0)
+    out = sides[0].select(key, F.array("at").alias("all"))
+    for side in sides[1:]:
+        out = out.join(side, key).select(key, F.concat("all", F.array("at")).alias("all"))
+    span = within + len(sides) - 1
+    near = lambda start: F.forall("all", lambda places: F.exists(places, lambda x: (x >= start) & (x <= start + span)))
+    starts = F.filter(F.array_distinct(F.array_sort(F.flatten("all"))), near)
+    return out.select(key, starts.alias("at")).where(F.size("at") > 0)
+
+
+def all_of(*found: DataFrame, key: str = "id") -> DataFrame:
+    """Keys in every one of some results."""
+    return reduce(lambda a, b: a.join(b.select(key), key, "left_semi"), (f.select(key) for f in found))
+
+
+def any_of(*found: DataFrame, key: str = "id") -> DataFrame:
+    """Keys in one of some results or more."""
+    return reduce(lambda a, b: a.union(b), (f.select(key) for f in found)).distinct()
+
+
+def without(found: DataFrame, other: DataFrame, key: str = "id") -> DataFrame:
+    """Keys in one result and not in another."""
+    return found.select(key).join(other.select(key), key, "left_anti")
+
+
 def phrase(text: str, column: str) -> F.Column:
     """Whether a column holds a query's terms next to each other, in order; a last `*` makes the last term a prefix."""
     want = [t for t in re.split(SEPARATORS, text.lower()) if t]
+    if not want:
+        return F.lit(False)
     end = "" if text.rstrip().endswith("*") else "(?![a-z0-9])"
     return F.lower(F.col(column)).rlike("(?<![a-z0-9])" + SEPARATORS.join(map(re.escape, want)) + end)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hashing, paths
@@ -64,3 +64,68 @@ def stale_nodes(current: DataFrame, previous: DataFrame) -> DataFrame:
 def ancestor_closure(changed: DataFrame, leaves: DataFrame) -> DataFrame:
     """(repo, node_id) of live folders above changed paths: the same nodes as stale_nodes(), without hashes."""
     return live_nodes(changed).join(live_nodes(leaves), ["repo", "node_id"], "left_semi")
+
+
+# the tree as a document
+
+
+NODE = "node_id string, kind string, node_hash string, children array<string>"
+
+
+def _quoted(text: Column) -> Column:
+    """A string as JSON writes it."""
+    whole = F.to_json(F.array(text))
+    return F.substring(whole, F.lit(2), F.length(whole) - 2)
+
+
+def to_documents(nodes: DataFrame) -> DataFrame:
+    """(repo, doc): the whole tree of node_hashes() as nested JSON, with keys sorted and children by id.
+
+    Built from the deepest level up, one aggregation by parent each, as the hashes are.
+    """
+    own = cut(nodes.select("repo", "node_id", "parent_id", "depth", "kind", "node_hash").withColumn("level", F.coalesce(paths.depth(F.col("parent_id")) + 1, F.lit(-1))))
+    deepest = own.agg(F.max("level")).first()[0]
+    none = F.array().cast("array<struct<node_id:string,doc:string>>")
+    below = None
+    for level in range(deepest if deepest is not None else -2, -2, -1):
+        here = own.where(F.col("level") == level)
+        if below is None:
+            here = here.withColumn("kids", none)
+        else:
+            kids = below.groupBy("repo", F.col("parent_id").alias("node_id")).agg(F.array_sort(F.collect_list(F.struct("node_id", "doc"))).alias("kids"))
+            # a leaf and a folder never share an id below one parent
+            here = here.join(kids, ["repo", "node_id"], "left").withColumn("kids", F.coalesce("kids", none))
+        doc = F.concat(F.lit('{"children":['), F.array_join(F.transform("kids", lambda k: k["doc"]), ","), F.lit('],"kind":'), _quoted(F.col("kind")), F.lit(',"node_hash":'), _quoted(F.col("node_hash")), F.lit(',"node_id":'), _quoted(F.col("node_id")), F.lit("}"))
+        below = cut(here.select("repo", "node_id", "parent_id", doc.alias("doc")))
+    if below is None:
+        return nodes.sparkSession.createDataFrame([], "repo string, doc string")
+    return below.select("repo", "doc")
+
+
+def from_documents(docs: DataFrame) -> DataFrame:
+    """(repo, node_id, parent_id, kind, node_hash) of every node of nested trees, taken apart level by level."""
+    front = docs.select("repo", F.lit(None).cast("string").alias("parent_id"), "doc")
+    out = None
+    while True:
+        level = cut(front.select("repo", "parent_id", F.from_json("doc", NODE).alias("n")).where("n.node_id IS NOT NULL").select("repo", "parent_id", "n.*"))
+        if level.isEmpty():
+            rows = level if out is None else out
+            return rows.select("repo", "node_id", "parent_id", "kind", "node_hash")
+        out = level if out is None else out.unionByName(level)
+        front = level.select("repo", F.col("node_id").alias("parent_id"), F.explode("children").alias("doc"))
+
+
+def find(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(repo, node_id, kind, node_hash) of nodes wanted (repo, node_id), found along their paths in nested trees; absent ones give no row."""
+    front = wanted.select("repo", "node_id").distinct().join(docs.select("repo", "doc"), "repo").select("repo", F.col("node_id").alias("want"), "doc")
+    out = None
+    while True:
+        level = cut(front.select("repo", "want", F.from_json("doc", NODE).alias("n")).where("n.node_id IS NOT NULL").select("repo", "want", "n.*"))
+        hit = level.where("node_id = want").select("repo", "node_id", "kind", "node_hash")
+        out = hit if out is None else out.unionByName(hit)
+        on = level.where("node_id <> want")
+        if on.isEmpty():
+            return out
+        child = F.get_json_object("doc", "$.node_id")
+        kids = on.select("repo", "want", F.explode("children").alias("doc"))
+        front = kids.where((child == F.col("want")) | F.startswith(F.col("want"), F.concat(child, F.lit("/"))))

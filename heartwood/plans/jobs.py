@@ -87,6 +87,37 @@ def wanted(events: DataFrame, branches: Column, docs_branch: Column) -> DataFram
     return ev.latest_by_repo(rows.where("sha IS NOT NULL"))
 
 
+def together(base: str, load: Callable[[DataFrame], DataFrame], generator, synthesizer, branches: tuple[str, ...] = ev.BRANCHES, docs_branch: str = "docs", **options) -> Callable[[DataFrame, int], None]:
+    """For events.on_batches(): one run for all repositories that a batch names, in one store under base/store.
+
+    load gives the files (repo, path, text) of a table (repo, ts, sha) of repositories at commits. The run's tables are keyed
+    by repository, and the commit leaves those of others as they are. Rows of STATUS go to base/status under the batch's
+    number, so that a batch which is run again replaces them. A failed leaf makes its repository's row an error.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        todo = cut(wanted(batch, F.array(*map(F.lit, branches)), F.lit(docs_branch)))
+        if todo.isEmpty():
+            return
+        store = Store(spark, f"{base}/store")
+        done = r.run(store, load(todo), f"batch {batch_id}", generator, synthesizer, repos=todo, **options)
+        n = lambda outcome, name: F.count_if(F.col("outcome") == outcome).alias(name)
+        if done.noop:
+            rows = todo.select("repo", "sha", F.lit("noop").alias("status"), *(F.lit(0).cast("bigint").alias(c) for c in ("regenerated", "reused", "resynthesized")), F.lit(None).cast("string").alias("error"))
+        else:
+            leaf = done.leaf_docs.groupBy("repo").agg(n("regenerated", "regenerated"), n("reused", "reused"), F.min("error").alias("error"))
+            node = done.node_docs.groupBy("repo").agg(n("resynthesized", "resynthesized"))
+            work = done.plan.select("repo").distinct().withColumn("work", F.lit(True))
+            both = todo.join(leaf, "repo", "left").join(node, "repo", "left").join(work, "repo", "left")
+            status = F.when(F.col("error").isNotNull(), "error").when(F.col("work").isNull(), "noop").when(F.lit(done.halted), "halted").otherwise("generated")
+            zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+            rows = both.select("repo", "sha", status.alias("status"), zero("regenerated"), zero("reused"), zero("resynthesized"), F.left("error", F.lit(300)).alias("error"))
+        rows.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{base}/status/{batch_id}")
+
+    return handle
+
+
 def handler(base: str, load: Callable[[str, str], DataFrame], generator, synthesizer, branches: tuple[str, ...] = ev.BRANCHES, docs_branch: str = "docs", **options) -> Callable[[DataFrame, int], None]:
     """For events.on_batches(): a run for each repository that a batch names, each with a store of its own, and
     their rows of STATUS appended to base/status. load gives a repository's files (repo, path, text) at a commit.

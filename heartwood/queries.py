@@ -603,3 +603,190 @@ def fallback_count(spark: SparkSession, sf: str) -> DataFrame:
     """Files of the suffixes that are counted where no analysis is at hand, whatever their size."""
     known = paths.language(paths.suffix(F.col("path")), paths.COUNTED) != "unknown"
     return _both(spark, sf)[0].groupBy("repo").agg(F.count_if(known).alias("total_files"))
+
+
+@query("""WITH e AS (SELECT 'repo'||CAST(user_id%20 AS VARCHAR) AS repo, ts, event_id, CASE event_type WHEN 'click' THEN 'commit' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' END AS kind, 'a'||CAST(event_id AS VARCHAR) AS sha FROM events),
+k AS (SELECT * FROM e WHERE kind IS NOT NULL), r AS (SELECT repo, max(ts) AS rts, arg_max(kind, (ts, kind)) AS result FROM k WHERE kind<>'commit' GROUP BY repo),
+c AS (SELECT k.repo, max(k.ts) AS ts, arg_max(sha, (k.ts, sha)) AS sha, count(*) FILTER (rts IS NULL OR k.ts>rts) AS pending FROM k LEFT JOIN r USING (repo) WHERE kind='commit' GROUP BY k.repo),
+n AS (SELECT repo, count(*) AS seen FROM k GROUP BY repo)
+SELECT n.repo, n.seen, c.sha, coalesce(c.pending,0) AS pending, CASE WHEN c.pending>0 THEN 'pending' ELSE coalesce(r.result,'idle') END AS status FROM n LEFT JOIN c USING (repo) LEFT JOIN r USING (repo)""")
+def repository_state(spark: SparkSession, sf: str) -> DataFrame:
+    """Each repository's state after a stream of commits and of results of runs."""
+    import uuid
+
+    from .sources.state import shared_dir
+    from .streaming import repositories
+
+    out = f"{shared_dir(spark)}/repositories-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parque[t]")  # a pattern: a file or a folder
+    t = F.col("event_type")
+    kind = F.when(t == "click", "commit").when(t == "purchase", "done").when(t == "error", "failed")
+    rows = stream.select(F.concat(F.lit("repo"), (F.col("user_id") % 20).cast("string")).alias("repo"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"), F.concat(F.lit("a"), F.col("event_id").cast("string")).alias("sha"))
+    repositories.track(rows.where("kind IS NOT NULL"), f"{out}/states", f"{out}/state").awaitTermination()
+    return repositories.states(spark, f"{out}/states").select("repo", "seen", "sha", "pending", "status")
+
+
+@query("""SELECT 1 AS version, o_orderkey, o_orderstatus AS status FROM orders WHERE o_orderkey%2=0 UNION ALL
+SELECT 2, o_orderkey, CASE WHEN o_orderkey%6=0 THEN 'new' ELSE o_orderstatus END FROM orders WHERE o_orderkey%10<>0 AND (o_orderkey%2=0 OR o_orderkey%3=0)""")
+def stored_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """A table at two versions of a store that keeps what changed."""
+    import uuid
+
+    from .sources.state import Store, shared_dir
+
+    store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    rows = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    store.commit({"orders": rows.where("o_orderkey % 2 = 0")}, "c1")
+    after = rows.where("o_orderkey % 10 <> 0 AND (o_orderkey % 2 = 0 OR o_orderkey % 3 = 0)")
+    store.commit({"orders": after.withColumn("status", F.when(F.col("o_orderkey") % 6 == 0, "new").otherwise(F.col("status")))}, "c2")
+    at = lambda v: store.read("orders", "o_orderkey bigint, status string", version=v).withColumn("version", F.lit(v))
+    return at(1).unionByName(at(2))
+
+
+def _json(kind: str, h: str, node: str, kids: str = "''") -> str:
+    return f"""'{{"children":['||{kids}||'],"kind":"{kind}","node_hash":"'||{h}||'","node_id":"'||{node}||'"}}'"""
+
+
+_TREE_DOCS = f"""x3 AS (SELECT repo, path, regexp_replace(path,'/[^/]*$','') AS node_id, {_json('leaf', 'sha', 'path')} AS doc FROM cur),
+x2 AS (SELECT n2.repo, n2.node_id, split_part(n2.node_id,'/',1) AS top, {_json('folder', 'any_value(n2.h)', 'n2.node_id', "string_agg(x3.doc, ',' ORDER BY x3.path)")} AS doc FROM n2 JOIN x3 ON x3.repo=n2.repo AND x3.node_id=n2.node_id GROUP BY n2.repo, n2.node_id),
+x1 AS (SELECT n1.repo, n1.top, {_json('folder', 'any_value(n1.h)', 'n1.top', "string_agg(x2.doc, ',' ORDER BY x2.node_id)")} AS doc FROM n1 JOIN x2 ON x2.repo=n1.repo AND x2.top=n1.top GROUP BY n1.repo, n1.top),
+x0 AS (SELECT n0.repo, {_json('project', 'any_value(n0.h)', "'.'", "string_agg(x1.doc, ',' ORDER BY x1.top)")} AS doc FROM n0 JOIN x1 ON x1.repo=n0.repo GROUP BY n0.repo)"""
+
+
+@query(f"WITH {_SNAPS}, {_LEVELS('cur', 'n')}, {_TREE_DOCS} SELECT repo, doc FROM x0")
+def tree_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Each repository's tree as one nested document."""
+    return tree.to_documents(tree.node_hashes(_both(spark, sf)[0]))
+
+
+@query(f"WITH {_SNAPS}, {_LEVELS('cur', 'n')} SELECT repo, node_id, kind, node_hash FROM n UNION ALL SELECT repo, path, 'leaf', sha FROM cur")
+def tree_flattened(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes of nested trees."""
+    return tree.from_documents(tree.to_documents(tree.node_hashes(_both(spark, sf)[0]))).select("repo", "node_id", "kind", "node_hash")
+
+
+@query(f"WITH {_SNAPS}, {_LEVELS('cur', 'n')}, w AS (SELECT * FROM n UNION ALL SELECT repo, path, 2, 'leaf', sha FROM cur), q AS (SELECT repo, path AS node_id FROM cur WHERE path LIKE '%.py' UNION SELECT repo, split_part(path,'/',1) FROM cur UNION SELECT repo, '.' FROM cur UNION SELECT repo, path||'x' FROM cur) SELECT q.repo, q.node_id, w.kind, w.node_hash FROM q JOIN w ON w.repo=q.repo AND w.node_id=q.node_id")
+def tree_find(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes looked up by path in nested trees, some of which are not there."""
+    cur = _both(spark, sf)[0]
+    pick = lambda c: cur.select("repo", c.alias("node_id"))
+    path = F.col("path")
+    want = pick(path).where(F.endswith("node_id", F.lit(".py"))).union(pick(F.split(path, "/")[0])).union(pick(F.lit("."))).union(pick(F.concat(path, F.lit("x"))))
+    return tree.find(tree.to_documents(tree.node_hashes(cur)), want)
+
+
+_TOKENS = "t AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x<>'') AS ws FROM documents), p AS (SELECT id, unnest(ws) AS w, generate_subscripts(ws, 1) AS at FROM t)"
+
+
+def _postings(spark: SparkSession, sf: str) -> DataFrame:
+    return search.postings(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), "text")
+
+
+@query(f"WITH {_TOKENS} SELECT a.id, a.at-1 AS at FROM p a JOIN p b ON a.id=b.id AND b.at=a.at+1 WHERE a.w='the' AND b.w='thing'")
+def phrase_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """Places of a phrase, by postings."""
+    return search.with_phrase(_postings(spark, sf), "The thing").select("id", F.explode(F.col("at").cast("array<bigint>")).alias("at"))
+
+
+@query(f"WITH {_TOKENS} SELECT DISTINCT a.id FROM p a JOIN p b ON a.id=b.id AND abs(a.at-b.at)<=4 JOIN p c ON c.id=a.id AND abs(a.at-c.at)<=4 AND abs(b.at-c.at)<=4 WHERE a.w='thing' AND b.w='of' AND c.w='the'")
+def near_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows with three words near one another."""
+    return search.with_near(_postings(spark, sf), "thing of the", within=2).select("id")
+
+
+@query(f"WITH {_TOKENS} SELECT id, count(*) AS n FROM p WHERE starts_with(w,'thi') GROUP BY id")
+def prefix_search(spark: SparkSession, sf: str) -> DataFrame:
+    return search.with_term(_postings(spark, sf), "thi*").select("id", F.size("at").cast("bigint").alias("n"))
+
+
+@query(f"WITH {_TOKENS} SELECT id FROM t WHERE (list_contains(ws,'la') AND list_contains(ws,'de') OR contains(' '||array_to_string(ws,' ')||' ', ' of the ')) AND len(list_filter(ws, lambda x: starts_with(x,'que')))=0")
+def boolean_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows with two words or a phrase, and without any word of a prefix."""
+    index = _postings(spark, sf)
+    some = search.any_of(search.all_of(search.with_term(index, "la"), search.with_term(index, "de")), search.with_phrase(index, "of the"))
+    return search.without(some, search.with_term(index, "que*"))
+
+
+def _history(spark: SparkSession, sf: str) -> DataFrame:
+    """A graph of commits made of customers: each has one parent, every fifth another."""
+    i = F.col("c_custkey")
+    up = F.array_compact(F.array(F.when(i > 1, F.floor(i / 2)), F.when(i % 5 == 0, i - 1)))
+    name = lambda c: F.concat(F.lit("k"), c.cast("string"))
+    return table(spark, sf, "customer").select(name(i).alias("sha"), F.explode(up).alias("p")).select("sha", name(F.col("p")).alias("parent"))
+
+
+_GRAPH = "g AS (SELECT 'k'||CAST(c_custkey AS VARCHAR) AS sha, 'k'||CAST(c_custkey//2 AS VARCHAR) AS parent FROM customer WHERE c_custkey>1 UNION ALL SELECT 'k'||CAST(c_custkey AS VARCHAR), 'k'||CAST(c_custkey-1 AS VARCHAR) FROM customer WHERE c_custkey%5=0)"
+_REACH = "r AS (SELECT sha AS start, sha, 0 AS d FROM s UNION SELECT r.start, g.parent, r.d+1 FROM r JOIN g ON r.sha=g.sha)"
+
+
+@query(f"WITH RECURSIVE {_GRAPH}, s AS (SELECT 'k'||CAST(c_custkey AS VARCHAR) AS sha FROM customer WHERE c_custkey%29=0), {_REACH} SELECT start, sha, min(d) AS distance FROM r GROUP BY start, sha")
+def commit_ancestors(spark: SparkSession, sf: str) -> DataFrame:
+    """What some commits lead to, and over how many steps."""
+    from .operators import history
+
+    name = F.concat(F.lit("k"), F.col("c_custkey").cast("string"))
+    heads = table(spark, sf, "customer").where("c_custkey % 29 = 0").select(name.alias("start"), name.alias("sha"))
+    return history.ancestors(_history(spark, sf), heads)
+
+
+@query(f"WITH RECURSIVE {_GRAPH}, q AS (SELECT 'k'||CAST(c_custkey AS VARCHAR) AS head, 'k'||CAST(c_custkey//4+c_nationkey%2 AS VARCHAR) AS base FROM customer WHERE c_custkey%7=0), s AS (SELECT DISTINCT head AS sha FROM q), {_REACH} SELECT q.base, q.head, EXISTS (SELECT 1 FROM r WHERE r.start=q.head AND r.sha=q.base) AS known FROM q")
+def commit_known(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether commits are ancestors of others."""
+    from .operators import history
+
+    i, name = F.col("c_custkey"), lambda c: F.concat(F.lit("k"), c.cast("string"))
+    pairs = table(spark, sf, "customer").where("c_custkey % 7 = 0").select(name(F.floor(i / 4) + F.col("c_nationkey") % 2).alias("base"), name(i).alias("head"))
+    return history.is_ancestor(_history(spark, sf), pairs)
+
+
+@query(f"""WITH RECURSIVE {_GRAPH}, s AS (SELECT 'k149' AS sha UNION ALL SELECT 'k18'), {_REACH}, n AS (SELECT start, sha, min(d) AS d FROM r GROUP BY start, sha),
+own AS (SELECT sha, d FROM n WHERE start='k149' AND sha NOT IN (SELECT sha FROM n WHERE start='k18')), c AS (SELECT 'k'||CAST(c_custkey AS VARCHAR) AS sha, c_custkey AS i, c_nationkey%4 AS f FROM customer),
+l AS (SELECT sha, 'f'||CAST(f AS VARCHAR)||'.py' AS path, CASE WHEN i%3=0 THEN 'deleted' ELSE 'changed' END AS change FROM c WHERE i%4<>0 UNION ALL SELECT sha, 'f'||CAST(f AS VARCHAR)||'.py', 'deleted' FROM c WHERE i%4=0 UNION ALL SELECT sha, 'g'||CAST(f AS VARCHAR)||'.py', 'changed' FROM c WHERE i%4=0)
+SELECT path, arg_min(change, (d, change)) AS change FROM l JOIN own USING (sha) GROUP BY path""")
+def commit_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """What the commits between two of them change, from their listings."""
+    from .operators import history
+
+    i, f = F.col("c_custkey"), (F.col("c_nationkey") % 4).cast("string")
+    file = lambda head: F.concat(F.lit(head), f, F.lit(".py"))
+    line = F.when(i % 4 == 0, F.concat_ws("\t", F.lit("R090"), file("f"), file("g"))).when(i % 3 == 0, F.concat_ws("\t", F.lit("D"), file("f"))).otherwise(F.concat_ws("\t", F.lit("M"), file("f")))
+    lines = table(spark, sf, "customer").select(F.concat(F.lit("k"), i.cast("string")).alias("sha"), line.alias("line"))
+    return history.between(_history(spark, sf), lines, "k18", "k149")
+
+
+@query(f"""WITH {_SNAPS}, {_DIFF}, a AS (SELECT repo, path, 'U['||path||']'||CAST(length(text) AS VARCHAR) AS doc FROM fp), b AS (SELECT repo, path, 'U['||path||']'||CAST(length(text) AS VARCHAR) AS doc, length(text)%3=0 AS bad FROM fc)
+SELECT d.repo, d.path, CASE WHEN d.stale AND NOT b.bad THEN b.doc ELSE a.doc END AS doc FROM diff d JOIN b ON b.repo=d.repo AND b.path=d.path LEFT JOIN a ON a.repo=d.repo AND a.path=d.path WHERE NOT (d.stale AND b.bad AND a.doc IS NULL)""")
+def failed_refresh(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents after a run in which some edits fail: those keep their last good document."""
+    import uuid
+
+    from .plans import run as r
+    from .sources.state import Store, shared_dir
+
+    def generator(path: str, text: str) -> str:
+        if len(text) % 3 == 0:
+            raise ValueError("refused")
+        return f"U[{path}]{len(text)}"
+
+    store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    syn = lambda n, kids: F.sha2(F.array_join(F.transform(kids, lambda k: k["doc"]), "\n"), 256)
+    own = lambda df: df.select("repo", "path", "text")
+    r.run(store, own(corpus.previous_files(spark, sf)), "c1", F.concat(F.lit("U["), F.col("path"), F.lit("]"), F.length("text").cast("string")), syn)
+    r.run(store, own(corpus.current_files(spark, sf)), "c2", generator, syn)
+    return store.read("unit_doc", r.DOC)
+
+
+@query(f"""WITH {_SNAPS}, {_DIFF}, {_PLAN}, work AS (SELECT repo, id, phase, row_number() OVER (PARTITION BY repo ORDER BY phase,
+ (CASE WHEN phase=2 THEN (CASE WHEN id='.' THEN -1 ELSE length(id)-length(replace(id,'/','')) END) ELSE 0 END) DESC, CASE WHEN phase=1 THEN id END, id DESC) AS ord FROM plan WHERE action<>'delete'),
+k AS (SELECT *, row_number() OVER (ORDER BY phase, repo, ord) AS n FROM work) SELECT repo, id, phase, CAST(ord AS INT) AS ord, 0.25::DOUBLE*n AS running, 0.25*n<=20 AS admitted FROM k""")
+def budget_total(spark: SparkSession, sf: str) -> DataFrame:
+    """One ceiling over the work of all repositories."""
+    work = p.in_order(p.refresh_plan(*_both(spark, sf))).withColumn("cost", F.lit(0.25))
+    return budget.admit_all(work, "cost", 20.0, ("phase", "repo", "ord")).select("repo", "id", "phase", F.col("ord").cast("int").alias("ord"), "running", "admitted")
+
+
+@query(f"WITH {_SNAPS}, {_LEVELS('cur', 'n')} SELECT repo, CASE WHEN repo='en' THEN h ELSE sha256('.') END AS node_hash FROM n0")
+def bare_roots(spark: SparkSession, sf: str) -> DataFrame:
+    """Roots of repositories, all but one of which have lost their leaves."""
+    cur = _both(spark, sf)[0]
+    return tree.node_hashes(cur.where("repo = 'en'"), cur.select("repo")).where("node_id = '.'").select("repo", "node_hash")
