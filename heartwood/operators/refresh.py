@@ -10,32 +10,18 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..sources.state import cut
+from .calls import called
 
 #: Characters of a child's document that its folder sees.
 CHILD_CHARS = 1500
 
 
-def generated(leaves: DataFrame, generator: Callable[[str, str], str], retries: int = 0) -> DataFrame:
-    """(repo, path, doc, error) from a function of (path, text), in batches. A failure is an error, not a document."""
+def generated(leaves: DataFrame, generator: Callable[[str, str], str], retries: int = 0, **pace) -> DataFrame:
+    """(repo, path, doc, error) from a function of (path, text). A failure, or an empty answer, is an error, not a document. pace: as called() takes it."""
+    return called(leaves, generator, ("path", "text"), ("repo", "path"), retries=retries, **pace)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for repo, path, text in zip(pdf["repo"], pdf["path"], pdf["text"], strict=True):
-                doc, error = None, None
-                for _ in range(retries + 1):
-                    try:
-                        doc, error = generator(path, text), None
-                        break
-                    except Exception as e:
-                        error = f"{type(e).__name__}: {e}"
-                rows.append((repo, path, doc, error))
-            yield pd.DataFrame(rows, columns=["repo", "path", "doc", "error"])
 
-    return leaves.select("repo", "path", "text").mapInPandas(run, "repo string, path string, doc string, error string")
-
-
-def refresh_leaves(leaves: DataFrame, diff: DataFrame, cache: DataFrame, generator: Column | Callable[[str, str], str], retries: int = 0) -> DataFrame:
+def refresh_leaves(leaves: DataFrame, diff: DataFrame, cache: DataFrame, generator: Column | Callable[[str, str], str], retries: int = 0, **pace) -> DataFrame:
     """(repo, path, doc, outcome, error) of all live leaves: regenerated where stale, else reused from the cache; deleted ones go.
 
     A Column as generator stays in the JVM; a function goes through Arrow batches.
@@ -46,7 +32,7 @@ def refresh_leaves(leaves: DataFrame, diff: DataFrame, cache: DataFrame, generat
     if isinstance(generator, Column):
         new = todo.select(*keys, generator.alias("doc"), F.lit(None).cast("string").alias("error"))
     else:
-        new = cut(generated(todo, generator, retries))  # once: a plan may read it twice
+        new = cut(generated(todo, generator, retries, **pace))  # once: a plan may read it twice
     new = new.withColumn("outcome", F.when(F.col("error").isNull(), "regenerated").otherwise("failed"))
     old = cache.join(live.where("NOT stale").select(*keys), keys, "left_semi").select(*keys, "doc", F.lit(None).cast("string").alias("error"), F.lit("reused").alias("outcome"))
     return new.select(*keys, "doc", "outcome", "error").unionByName(old.select(*keys, "doc", "outcome", "error"))

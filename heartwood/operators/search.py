@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.state import cut
@@ -21,8 +21,10 @@ def terms(query: str) -> list[str]:
     return list(dict.fromkeys(t for t in re.split(SEPARATORS, query.lower()) if t))
 
 
-def bm25(docs: DataFrame, query: str, key: str = "id", weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """(key, rank) of rows that hold every term; a lower rank is better.
+def bm25(docs: DataFrame, query: str, key: str = "id", weights: dict[str, float] = WEIGHTS, only: Column | None = None) -> DataFrame:
+    """(key, rank) of rows that hold every term, and meet a condition if one is given; a lower rank is better.
+
+    Rows are left out before they are ranked; the corpus figures are those of all rows.
 
     One pass counts a row's tokens and its terms; corpus figures (rows, rows
     with each term, mean length) are one aggregation of those.
@@ -31,13 +33,13 @@ def bm25(docs: DataFrame, query: str, key: str = "id", weights: dict[str, float]
     if not want:
         return docs.select(key, F.lit(0.0).alias("rank")).limit(0)
     tokens = {c: F.array_remove(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), SEPARATORS), "") for c in weights}
-    each = docs.select(key, *(t.alias(f"t_{c}") for c, t in tokens.items()))
+    each = docs.select(key, F.coalesce(F.lit(True) if only is None else only, F.lit(False)).alias("__only"), *(t.alias(f"t_{c}") for c, t in tokens.items()))
     length = reduce(lambda a, b: a + b, (F.size(f"t_{c}") for c in weights))
     hits = lambda c, t: F.size(F.filter(F.col(f"t_{c}"), lambda x: x == t))
     freq = [reduce(lambda a, b: a + b, (hits(c, t) * w for c, w in weights.items())).alias(f"f{i}") for i, t in enumerate(want)]
-    rows = each.select(key, length.alias("len"), *freq)
+    rows = each.select(key, "__only", length.alias("len"), *freq)
     figures = rows.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *(F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(want))))
-    both = rows.where(reduce(lambda a, b: a & b, (F.col(f"f{i}") > 0 for i in range(len(want))))).crossJoin(F.broadcast(figures))  # one row
+    both = rows.where("__only").where(reduce(lambda a, b: a & b, (F.col(f"f{i}") > 0 for i in range(len(want))))).crossJoin(F.broadcast(figures))  # one row
     score = reduce(
         lambda a, b: a + b,
         (F.greatest(F.log((F.col("n") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5)), F.lit(LEAST_IDF)) * F.col(f"f{i}") * (K1 + 1) / (F.col(f"f{i}") + K1 * (1 - B + B * F.col("len") / F.col("mean"))) for i in range(len(want))),

@@ -32,7 +32,7 @@ class Result:
     failed: bool = False
 
 
-def run(store: Store, files: DataFrame, sha: str, generator: Column | Callable[[str, str], str], synthesizer: Callable, keep: Column | None = None, ceiling: float | None = None, price: float = budget.PRICE, workers: int | None = None, native: bool = True, retries: int = 0, repos: DataFrame | None = None, name: str = "*") -> Result:
+def run(store: Store, files: DataFrame, sha: str, generator: Column | Callable[[str, str], str], synthesizer: Callable, keep: Column | None = None, ceiling: float | None = None, price: float = budget.PRICE, workers: int | None = None, native: bool = True, retries: int = 0, repos: DataFrame | None = None, name: str = "*", **pace) -> Result:
     """Bring the documents of files (repo, path, text) up to date.
 
     An empty plan calls nothing and only moves the base. Under a ceiling, work
@@ -44,8 +44,12 @@ def run(store: Store, files: DataFrame, sha: str, generator: Column | Callable[[
     stays then too. `calls` are the leaves and folders that functions were called
     for. repos, a table of `repo`, limits the run to these repositories of a store
     that holds more; name is what the store files the base under.
+    pace: calls under way in a task, their rate and back-off, as calls.called() takes them
+    (its workers by the name `concurrent`).
     """
     own = files if keep is None else files.where(keep)
+    if "concurrent" in pace:
+        pace["workers"] = pace.pop("concurrent")
     store.refresh()
     current = cut(snapshot(own, F.col("repo")))
     here = (lambda df: df) if repos is None else (lambda df: df.join(repos.select("repo"), "repo", "left_semi"))
@@ -67,7 +71,7 @@ def run(store: Store, files: DataFrame, sha: str, generator: Column | Callable[[
     some = admitted.where("phase = 1").select("repo", F.col("id").alias("path"))
     texts = own if workers is None else own.repartition(workers)
     part = diff.join(some, ["repo", "path"], "left_semi").unionByName(diff.where("NOT stale AND NOT deleted"))
-    docs = cut(refresh.refresh_leaves(texts, part, cached, generator, retries))
+    docs = cut(refresh.refresh_leaves(texts, part, cached, generator, retries, **pace))
     good, bad = docs.where("outcome <> 'failed'").select("repo", "path", "doc"), docs.where("outcome = 'failed'").select("repo", "path")
     # a failed leaf keeps what was recorded of it, hash and document, so that it stays stale and its folder still sees it
     kept = bad.join(previous, ["repo", "path"])

@@ -790,3 +790,41 @@ def bare_roots(spark: SparkSession, sf: str) -> DataFrame:
     """Roots of repositories, all but one of which have lost their leaves."""
     cur = _both(spark, sf)[0]
     return tree.node_hashes(cur.where("repo = 'en'"), cur.select("repo")).where("node_id = '.'").select("repo", "node_hash")
+
+
+@query(_search_sql(("la", "de"), "SELECT id, round(rank,6) AS rank FROM k JOIN documents d ON d.doc_id=k.id WHERE d.lang='es' AND d.source IN ('src1','src2','src3','src4','src5') AND d.n_chars<5000"))
+def filtered_page(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of three conditions, ranked among themselves by the figures of all."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("name"), F.left("text", F.lit(60)).alias("summary"), F.col("text").alias("content"), "lang", "n_chars")
+    only = (F.col("lang") == "es") & F.col("name").isin("src1", "src2", "src3", "src4", "src5") & (F.col("n_chars") < 5000)
+    return search.bm25(docs, "la de", only=only).withColumn("rank", F.round("rank", 6))
+
+
+@query("SELECT p_partkey AS id, 'm'||CAST(p_partkey AS VARCHAR) AS module, p_partkey%2=0 AS infers_multiplier, 3 AS n_ports FROM part")
+def lateral_modules(spark: SparkSession, sf: str) -> DataFrame:
+    """Modules of source text, by a table function in SQL."""
+    from .operators import processors
+
+    processors.register(spark)
+    _verilog(spark, sf).createOrReplaceTempView("heartwood_source")
+    return spark.sql("SELECT s.id, m.module, m.infers_multiplier, CAST(size(m.ports) AS INT) AS n_ports FROM heartwood_source s, LATERAL modules(s.code) m")
+
+
+@query("SELECT p_partkey AS id, 'module' AS type, 'm'||CAST(p_partkey AS VARCHAR) AS name FROM part WHERE p_partkey%3<>1 UNION ALL SELECT p_partkey, 'port', unnest(['a','b','y']) FROM part WHERE p_partkey%3<>1")
+def processed_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Symbols of files, each by the processor of its language; some languages have none."""
+    from .operators import processors
+
+    language = F.when(F.col("id") % 3 == 0, "Verilog").when(F.col("id") % 3 == 1, "markdown").otherwise("VERILOG")
+    return processors.processed(_verilog(spark, sf).withColumn("language", language)).select("id", "type", "name")
+
+
+@query("""SELECT conv_id, '# '||CAST(conv_id AS VARCHAR)||chr(10)||string_agg(CAST(n AS VARCHAR)||'. '||upper(role)||CASE WHEN length(text)>0 THEN ': '||text ELSE ' (empty)' END||chr(10), '' ORDER BY n)||CASE WHEN count(*)>2 THEN 'long' ELSE 'short' END AS page
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) GROUP BY conv_id""")
+def template_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations by a template with a loop, conditions and a filter."""
+    from .functions import templates
+
+    turns = table(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    page = "# {{ id }}\n{% for t in turns %}{{ loop.index }}. {{ t.role | upper }}{% if t.text %}: {{ t.text }}{% else %} (empty){% endif %}\n{% endfor %}{% if long %}long{% else %}short{% endif %}"
+    return turns.select("conv_id", templates.render(page, {"id": F.col("conv_id"), "turns": F.col("turns"), "long": F.size("turns") > 2}).alias("page"))

@@ -14,8 +14,8 @@ IGNORED = (".git", ".github", "__pycache__", "node_modules", ".venv", "venv", ".
 PIPELINE_BYTES, PROCESSOR_BYTES = 100_000, 2 * 1024 * 1024
 
 
-def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = (), ignore: tuple[str, ...] = IGNORED, below: int | None = None) -> DataFrame:
-    """(path, length, text) of files under root, paths relative to it; folders to ignore are looked for below root only. Malformed bytes become replacement characters."""
+def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = (), ignore: tuple[str, ...] = IGNORED, below: int | None = None, ordered: bool = False) -> DataFrame:
+    """(path, length, text) of files under root, paths relative to it; folders to ignore are looked for below root only. Malformed bytes become replacement characters. ordered: by the parts of paths."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     if below is not None:
         raw = raw.where(F.col("length") < below)
@@ -26,7 +26,7 @@ def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = (), ignor
         out = out.where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, ignore))))
     if extensions:
         out = out.where(paths.suffix(F.col("path")).isin(*extensions))
-    return out
+    return out.orderBy(F.split("path", "/")) if ordered else out
 
 
 def snapshot(files: DataFrame, repo: Column | str = "", keep: Column | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from heartwood.operators import history, search, tree
@@ -130,3 +131,45 @@ def test_histories(spark):
     change = lambda base: {(r["path"], r["change"]) for r in history.between(edges, lines, base, "e").collect()}
     assert change("a") == {("m", "changed"), ("old", "deleted"), ("new", "changed"), ("n", "changed")}
     assert change("d") == {("m", "changed")} and change(None) == change("a") | {("first", "changed")}
+
+
+def test_calls_overlap_keep_order_and_pace(spark, tmp_path):
+    """Several calls are under way at once, at no more than the rate; errors are rows; the output is that of calls one by one."""
+    import time
+
+    from heartwood.operators.calls import called
+
+    def call(i, folder):
+        import os
+
+        start = time.time()
+        time.sleep(0.15)
+        with open(f"{folder}/{i}-{os.getpid()}-{start}", "w") as f:
+            f.write(f"{start} {time.time()}")
+        tries = sum(n.startswith(f"{i}-") for n in os.listdir(folder))
+        if i % 5 == 1 or (i % 5 == 2 and tries < 2):
+            raise ValueError(f"no {i}")
+        return "" if i % 5 == 3 else f"d{i}"
+
+    rows = spark.range(10).select(F.col("id").alias("i"), F.lit(str(tmp_path)).alias("f")).coalesce(1)
+    got = [(r["i"], r["doc"], r["error"]) for r in called(rows, call, ("i", "f"), ("i",), workers=4, per_second=20, retries=1, backoff=0.01).collect()]
+    expect = {0: lambda i: (i, f"d{i}", None), 1: lambda i: (i, None, f"ValueError: no {i}"), 2: lambda i: (i, f"d{i}", None), 3: lambda i: (i, None, "empty answer"), 4: lambda i: (i, f"d{i}", None)}
+    assert got == [expect[i % 5](i) for i in range(10)]
+    spans = sorted(tuple(map(float, p.read_text().split())) for p in tmp_path.iterdir())
+    assert max(sum(a <= s < b for a, b in spans) for s, _ in spans) in (2, 3, 4)
+    assert spans[-1][0] - spans[0][0] >= (len(spans) - 1) / 20 - 0.1
+
+
+def test_templates_of_odd_values(spark):
+    from heartwood.functions import templates
+
+    df = spark.createDataFrame([(None, [], 0, [["x"], []]), ('q"', ["b", None], 2, [])], "a string, b array<string>, n int, m array<array<string>>")
+    c = {x: F.col(x) for x in df.columns}
+    show = lambda t: [r[0] for r in df.select(templates.render(t, c)).collect()]
+    assert show("{{ a }}-{{ a | quote }}") == ['-""', 'q"-"q\\""']
+    assert show("{% for x in b %}[{{ x }}{{ loop.index }}]{% endfor %}") == ["", "[b1][2]"]
+    assert show("{% if n %}{% if a %}1{% endif %}{% else %}0{% endif %}{% if b %}b{% endif %}") == ["0", "1b"]
+    assert show("{% for r in m %}<{% for x in r %}{{ x | upper }}{% endfor %}>{% endfor %}") == ["<X><>", ""]
+    for bad, error in (("{% if a %}", ValueError), ("{% for x in b %}", ValueError), ("{{ z }}", KeyError), ("{% include x %}", ValueError)):
+        with pytest.raises(error):
+            templates.render(bad, c)
