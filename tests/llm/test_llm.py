@@ -214,6 +214,15 @@ def test_planted_passages(spark):
     assert by[11]["class_id"] == 10 and by[11]["word_end"] == 150
 
 
+def test_passages_count_rows_once(spark):
+    """A text that holds a passage twice counts once, and each of two equal rows counts."""
+    said = " ".join(f"v{i}" for i in range(60))
+    pad = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    rows = [(1, f"{pad('a', 30)} {said} {pad('b', 30)} {said} {pad('c', 9)}"), (2, f"{pad('d', 20)} {said} {pad('e', 12)}"), (3, f"{pad('f', 20)} {said} {pad('g', 12)}"), (3, f"{pad('f', 20)} {said} {pad('g', 12)}")]
+    got = passages.find_passages(spark.createDataFrame(rows, "doc_id int, text string")).where("word_end - word_start <= 70").collect()
+    assert got and {(r["class_id"], r["class_docs"]) for r in got if r["doc_id"] in (1, 2)} == {(1, 4)}
+
+
 def test_passages_beside_a_common_core(spark):
     """Pairs of 60 words whose middle also stands in other texts, which are the representatives of most of its groups."""
     rng = np.random.default_rng(17)
