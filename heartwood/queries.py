@@ -828,3 +828,53 @@ def template_pages(spark: SparkSession, sf: str) -> DataFrame:
     turns = table(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     page = "# {{ id }}\n{% for t in turns %}{{ loop.index }}. {{ t.role | upper }}{% if t.text %}: {{ t.text }}{% else %} (empty){% endif %}\n{% endfor %}{% if long %}long{% else %}short{% endif %}"
     return turns.select("conv_id", templates.render(page, {"id": F.col("conv_id"), "turns": F.col("turns"), "long": F.size("turns") > 2}).alias("page"))
+
+
+@query(f"""WITH {_EV}, s AS (SELECT *, user_id FROM e JOIN (SELECT event_id, user_id FROM events) USING (event_id) WHERE event_id%5<3),
+g AS (SELECT *, CASE WHEN type NOT IN ('push','pull_request') THEN 'unsupported' WHEN NOT enabled THEN 'disabled'
+ WHEN type='push' AND starts_with(ref,'refs/heads/') AND substr(ref,12) NOT IN ('main','docs') THEN 'branch' WHEN type='push' AND ref='refs/heads/docs' THEN 'docs branch'
+ WHEN type='pull_request' AND action NOT IN ('opened','synchronize') THEN 'action' WHEN type='pull_request' AND base NOT IN ('main','docs') THEN 'base' ELSE 'process' END AS reason FROM s)
+SELECT CASE WHEN event_id%7=0 THEN 'unknown' ELSE 'd'||CAST(event_id AS VARCHAR) END AS delivery_id, coalesce(type,'unknown') AS type, CASE WHEN event_id%4<>0 THEN event_id%9 END AS installation_id, repo, 'u'||CAST(user_id AS VARCHAR) AS sender,
+ CASE WHEN type='push' THEN 'c'||CAST(event_id AS VARCHAR) WHEN type='pull_request' THEN 'h'||CAST(event_id AS VARCHAR) END AS sha, reason='process' AS process, reason FROM g""")
+def hook_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Deliveries with headers in any case, some signed wrongly or not at all, from a stream: the signed ones, taken apart and gated."""
+    import uuid
+
+    from .sources.state import shared_dir
+    from .streaming import hooks
+
+    out, secret = f"{shared_dir(spark)}/hooks-{uuid.uuid4().hex}", "a secret of this query"
+    c, i = F.col, F.col("event_id")
+    numbered = lambda p: F.concat(F.lit(p), i.cast("string"))
+    repo = F.struct(c("repo").alias("full_name"))
+    body = F.to_json(F.struct("ref", "action", numbered("c").alias("after"), repo.alias("repository"), F.when(i % 4 != 0, F.struct((i % 9).alias("id"))).alias("installation"), F.struct(F.concat(F.lit("u"), c("user_id").cast("string")).alias("login")).alias("sender"),
+                              F.struct(F.struct(c("base").alias("ref")).alias("base"), F.struct(numbered("h").alias("sha")).alias("head")).alias("pull_request")))
+    cased = lambda name: F.when(i % 3 == 0, name).when(i % 3 == 1, name.lower()).otherwise(name.upper())
+    sent = F.when(i % 5 < 3, hooks.mac(c("body"), secret)).when(i % 5 == 3, hooks.mac(c("body"), "another"))
+    given = F.map_filter(F.map_from_arrays(F.array(*map(cased, ("X-GitHub-Event", "X-GitHub-Delivery", "X-Hub-Signature-256"))), F.array("type", F.when(i % 7 != 0, numbered("d")), sent)), lambda k, v: v.isNotNull())
+    rows = _events(spark, sf).join(table(spark, sf, "events").select("event_id", "user_id"), "event_id").withColumn("body", body)
+    rows.select(given.alias("headers"), "body").write.json(f"{out}/sent")
+    events = hooks.gated(hooks.parsed(hooks.verified(hooks.deliveries(spark, f"{out}/sent"), secret)), c("repo") != "repo7", ("main", "docs"))
+    events.writeStream.format("parquet").option("path", f"{out}/events").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(events.schema).parquet(f"{out}/events").select("delivery_id", "type", "installation_id", "repo", "sender", "sha", "process", "reason")
+
+
+@query("""WITH v AS (SELECT 'n'||coalesce(CAST(nation_id AS VARCHAR),'one') AS repo, coalesce(vendor_id,-1) AS i, name FROM vendors), n AS (SELECT repo, 'b'||CAST(i%10 AS VARCHAR) AS b, CAST(i AS VARCHAR) AS i, name FROM v),
+d AS (SELECT repo, b||'/v'||i||'.v' AS title, b||'/v'||i||'.v.md' AS f, name AS doc FROM n UNION ALL SELECT repo, b, b||'/__folder__.md', CAST(count(*) AS VARCHAR)||' vendors' FROM n GROUP BY repo, b
+ UNION ALL SELECT repo, repo||' — repository overview', '__project__.md', CAST(count(*) AS VARCHAR)||' vendors' FROM n GROUP BY repo),
+p AS (SELECT repo||'/'||f AS path, max('# '||title||chr(10)||chr(10)||doc||chr(10)) AS t FROM d WHERE doc IS NOT NULL GROUP BY ALL)
+SELECT path, strlen(t) AS length, sha256(t) AS sha FROM p""")
+def exported_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of vendors and of their folders, written as files and read back from their folder."""
+    import uuid
+
+    from .sources import folders
+    from .sources.state import shared_dir
+
+    v = table(spark, sf, "vendors").select(F.concat(F.lit("n"), F.coalesce(F.col("nation_id").cast("string"), F.lit("one"))).alias("repo"), F.coalesce("vendor_id", F.lit(-1)).alias("i"), "name")
+    b = F.concat(F.lit("b"), (F.col("i") % 10).cast("string"))
+    counted = lambda node: v.groupBy("repo", node.alias("node_id")).agg(F.concat(F.count("*").cast("string"), F.lit(" vendors")).alias("doc")).select("repo", "node_id", F.lit("folder").alias("kind"), "doc")
+    leaf = v.select("repo", F.concat(b, F.lit("/v"), F.col("i").cast("string"), F.lit(".v")).alias("node_id"), F.lit("leaf").alias("kind"), F.col("name").alias("doc"))
+    target = f"{shared_dir(spark)}/pages-{uuid.uuid4().hex}"
+    folders.export(folders.pages(leaf.unionByName(counted(b)).unionByName(counted(F.lit(paths.ROOT))), F.col("repo")), target)
+    return folders.contents(folders.listing(spark, target), target).select("path", "length", F.sha2("content", 256).alias("sha"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing, paths
 from ..functions.text import is_blank
+from . import folders
 
 # Folders that a scan leaves out.
 IGNORED = (".git", ".github", "__pycache__", "node_modules", ".venv", "venv", ".tox", ".pytest_cache", "dist", "build")
@@ -15,17 +16,14 @@ PIPELINE_BYTES, PROCESSOR_BYTES = 100_000, 2 * 1024 * 1024
 
 
 def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = (), ignore: tuple[str, ...] = IGNORED, below: int | None = None, ordered: bool = False) -> DataFrame:
-    """(path, length, text) of files under root, paths relative to it; folders to ignore are looked for below root only. Malformed bytes become replacement characters. ordered: by the parts of paths."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    """(path, length, text) of files under root, paths relative to it; folders to ignore are looked for below root only. Names that begin with `_` or `.` and empty files count. Malformed bytes become replacement characters. ordered: by the parts of paths."""
+    own = folders.listing(spark, root, ignore)
     if below is not None:
-        raw = raw.where(F.col("length") < below)
-    base = root.split("://", 1)[-1].rstrip("/") + "/"
-    rel = F.element_at(F.split(F.col("path"), F.lit("\\Q" + base + "\\E"), 2), -1)
-    out = raw.select(rel.alias("path"), "length", F.decode("content", "UTF-8").alias("text"))
-    if ignore:
-        out = out.where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, ignore))))
+        own = own.where(F.col("length") < below)
     if extensions:
-        out = out.where(paths.suffix(F.col("path")).isin(*extensions))
+        own = own.where(paths.suffix(F.col("path")).isin(*extensions))
+    read = folders.contents(own, root).where("content IS NOT NULL")
+    out = read.select("path", "length", F.decode("content", "UTF-8").alias("text"))
     return out.orderBy(F.split("path", "/")) if ordered else out
 
 

@@ -201,8 +201,3 @@ class Store:
     def advance(self, sha: str, repo: str = "*") -> None:
         """The same tables for another sha, as after a run with nothing to do."""
         self.commit({}, sha, repo)
-
-
-def export_markdown(docs: DataFrame, path: str) -> None:
-    """Documents as text files under path, a folder of them for each id."""
-    docs.select(F.col("doc").alias("value"), F.col("rel")).write.partitionBy("rel").text(path)
