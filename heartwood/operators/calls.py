@@ -26,12 +26,12 @@ class Pace:
             time.sleep(max(0.0, at - time.monotonic()))
 
 
-def attempt(call: Callable[..., str], args: tuple, retries: int, backoff: float, pace: Pace) -> tuple[str | None, str | None]:
-    """(document, error) of a call; after the n-th failure n times backoff seconds pass. An empty answer is a failure."""
+def attempt(call: Callable[..., str], args: tuple, retries: int, backoff: float, pace: Pace, growth: float | None = None) -> tuple[str | None, str | None]:
+    """(document, error) of a call. An empty answer is a failure. After the n-th failure n times backoff seconds pass or, with growth, backoff times growth to the power n - 1."""
     error = None
     for n in range(retries + 1):
         if n:
-            time.sleep(backoff * n)
+            time.sleep(backoff * (n if growth is None else growth ** (n - 1)))
         pace.wait()
         try:
             out = call(*args)
@@ -43,11 +43,11 @@ def attempt(call: Callable[..., str], args: tuple, retries: int, backoff: float,
     return None, error
 
 
-def called(rows: DataFrame, call: Callable[..., str], args: tuple[str, ...], keep: tuple[str, ...], workers: int = 1, per_second: float | None = None, retries: int = 0, backoff: float = 0.0) -> DataFrame:
+def called(rows: DataFrame, call: Callable[..., str], args: tuple[str, ...], keep: tuple[str, ...], workers: int = 1, per_second: float | None = None, retries: int = 0, backoff: float = 0.0, growth: float | None = None) -> DataFrame:
     """Columns of keep, `doc` and `error`: call on the columns of args, a row each, in the order of the rows.
 
     Each task has up to `workers` calls under way and begins at most `per_second` of them in a second, so that
-    a job's rate is that of its tasks together: tasks times per_second. Twice the workers' rows are held.
+    a job's rate is that of its tasks together: tasks times per_second. retries, backoff and growth are those of attempt(). Twice the workers' rows are held.
     """
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep) + ", doc string, error string"
 
@@ -61,7 +61,7 @@ def called(rows: DataFrame, call: Callable[..., str], args: tuple[str, ...], kee
 
             for pdf in batches:
                 for kept, own in zip(zip(*(pdf[c] for c in keep), strict=True), zip(*(pdf[c] for c in args), strict=True), strict=True):
-                    waiting.append((kept, pool.submit(attempt, call, own, retries, backoff, pace)))
+                    waiting.append((kept, pool.submit(attempt, call, own, retries, backoff, pace, growth)))
                     if len(waiting) >= 2 * workers:
                         yield first()
             while waiting:

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from heartwood.operators import history, search, tree
+from heartwood.operators import calls, history, search, tree
 from heartwood.plans import jobs, run
 from heartwood.sources.state import Store
 from heartwood.streaming import repositories
@@ -173,3 +173,18 @@ def test_templates_of_odd_values(spark):
     for bad, error in (("{% if a %}", ValueError), ("{% for x in b %}", ValueError), ("{{ z }}", KeyError), ("{% include x %}", ValueError)):
         with pytest.raises(error):
             templates.render(bad, c)
+
+
+@pytest.mark.parametrize(("growth", "want"), [(None, [2, 4, 6, 8]), (1.5, [2, 3, 4.5, 6.75])])
+def test_back_off_is_linear_or_grows(monkeypatch, growth, want):
+    slept, left = [], [None, ValueError("down"), "", TimeoutError(), "up"]
+
+    def call():
+        out = left.pop(0)
+        if isinstance(out, Exception):
+            raise out
+        return out
+
+    monkeypatch.setattr(calls.time, "sleep", slept.append)
+    assert calls.attempt(call, (), 4, 2, calls.Pace(None), growth) == ("up", None) and slept == want
+    assert calls.attempt(lambda: 1 / 0, (), 1, 0, calls.Pace(None), growth) == (None, "ZeroDivisionError: division by zero")
