@@ -15,9 +15,11 @@ group's hub, the text that meets most others over all sketches. After links are
 joined to components, texts of groups that still hold several components are
 paired again (see _cross), in rounds of TRIES: first with the few that share most
 sketches, which joins most of them, then with all that are left. No pair is left
-out but by a bound: counts of distinct shingles in BUCKETS, of which two texts
-can't share more than the lesser count in each. So in the end no two texts of
-different classes that share a sketch have a similarity of THRESHOLD or more.
+out but by a bound: counts of distinct shingles in buckets, of which two texts
+can't share more than the lesser count in each. A text has a bucket for every
+two to four of its shingles (BUCKETS at least), so that the bound tells as much
+of long texts as of short ones. So in the end no two texts of different classes
+that share a sketch have a similarity of THRESHOLD or more.
 
 Defined cases: texts of under five words have no shingles and are copies of
 equal word sequences only; texts without words, of equal texts only (null is the
@@ -44,6 +46,8 @@ from .components import components
 
 SKETCHES, PLAIN, PICKS, THRESHOLD = 16, 4, 2, 0.8
 SMALL, BLOCK, BUCKETS, TRIES = 16, 1024, 256, (6, None)
+#: Bytes of buckets in a block of a group, about; and of all in a group whose pairs are made by a join.
+BLOCK_BYTES, SMALL_BYTES = 1 << 23, SMALL * 1024
 #: Ids that a broadcast of candidates may hold.
 BROADCAST_IDS = 250_000
 _SEEDS = np.random.default_rng(77).integers(1, 2**63, SKETCHES, dtype=np.uint64)
@@ -122,8 +126,11 @@ def sketch(buf: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], np.ndarra
     return ids, count, out
 
 
-def buckets(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Of each row, how many of its distinct shingles fall in each of BUCKETS, 255 at most."""
+def buckets(buf: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """Of each row, how many of its distinct shingles fall in each of its buckets, 255 at most.
+
+    A row has BUCKETS of them, or the power of two that leaves four shingles at most for each.
+    """
     n = len(offsets) - 1
     w = tk.words(buf, offsets, tk.ALNUM)
     s, at = tk.shingles(w.hash, w.doc)
@@ -131,15 +138,56 @@ def buckets(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     order = np.lexsort((s, doc))
     s, doc = s[order], doc[order]
     new = np.concatenate([[True], (s[1:] != s[:-1]) | (doc[1:] != doc[:-1])])[: len(s)]
-    spot = doc[new] * BUCKETS + (tk.mix(s[new]) & np.uint64(BUCKETS - 1)).astype(np.int64)
-    return np.minimum(np.bincount(spot, minlength=n * BUCKETS), 255).astype(np.uint8).reshape(n, BUCKETS)
+    s, doc = s[new], doc[new]
+    need = np.maximum(np.bincount(doc, minlength=n) / 4, BUCKETS)
+    wide = np.int64(1) << np.ceil(np.log2(need)).astype(np.int64)
+    first = np.concatenate([np.zeros(1, np.int64), np.cumsum(wide)])
+    spot = first[doc] + (tk.mix(s) & (wide[doc] - 1).astype(np.uint64)).astype(np.int64)
+    flat = np.minimum(np.bincount(spot, minlength=first[-1]), 255).astype(np.uint8)
+    return [flat[i:j].tobytes() for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+
+
+def folded(a: np.ndarray, wide: int) -> np.ndarray:
+    """Rows of buckets as they are with fewer of them."""
+    return a if a.shape[-1] == wide else a.reshape(*a.shape[:-1], -1, wide).sum(axis=-2, dtype=np.uint16)
 
 
 def may_align(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether rows of buckets leave room for a similarity of THRESHOLD; a full bucket bounds nothing."""
+    full = (a.max(axis=-1) == 255) | (b.max(axis=-1) == 255)
+    wide = min(a.shape[-1], b.shape[-1])
+    a, b = folded(a, wide), folded(b, wide)
     total = a.sum(axis=-1, dtype=np.int64) + b.sum(axis=-1, dtype=np.int64)
     both = np.minimum(a, b).sum(axis=-1, dtype=np.int64)
-    return (both >= THRESHOLD / (1 + THRESHOLD) * total - 1e-9) | (a.max(axis=-1) == 255) | (b.max(axis=-1) == 255)
+    return (both >= THRESHOLD / (1 + THRESHOLD) * total - 1e-9) | full
+
+
+class Bounds:
+    """Buckets of many texts, by their number, for bounds of one text against some others."""
+
+    def __init__(self, fp: list[bytes]):
+        self.wide = np.array([len(x) for x in fp])
+        self.row = np.zeros(len(fp), np.int64)
+        self.total, self.full = np.zeros(len(fp), np.int64), np.zeros(len(fp), bool)
+        self.rows: dict[int, np.ndarray] = {}
+        for wide in np.unique(self.wide).tolist():
+            at = np.flatnonzero(self.wide == wide)
+            self.rows[wide] = own = np.frombuffer(b"".join(fp[i] for i in at.tolist()), np.uint8).reshape(-1, wide)
+            self.row[at] = np.arange(len(at))
+            self.total[at], self.full[at] = own.sum(axis=1, dtype=np.int64), own.max(axis=1) == 255
+
+    def fit(self, i: int, at: np.ndarray) -> np.ndarray:
+        """Which of the texts `at` may align with text i."""
+        if not self.full[i]:  # first by their numbers of shingles, so that few are compared that have other numbers of buckets
+            near = np.minimum(self.total[at], self.total[i]) >= THRESHOLD * np.maximum(self.total[at], self.total[i]) - 1e-6
+            at = at[near | self.full[at]]
+        own = self.rows[int(self.wide[i])][self.row[i]][None]
+        out = []
+        for wide, rows in self.rows.items():
+            mine = at[self.wide[at] == wide]
+            if len(mine):
+                out.append(mine[may_align(rows[self.row[mine]], own)])
+        return np.sort(np.concatenate(out)) if out else at[:0]
 
 
 def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -153,7 +201,7 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
             for i, j in steps(offsets):
                 part = buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 ids, count, sk = sketch(*part)
-                fp = pa.array([row.tobytes() for row in buckets(*part)], pa.binary())
+                fp = pa.array(buckets(*part), pa.binary())
                 flat = pa.array(sk.view(np.int64).reshape(-1))
                 has = np.where(count > 0, SKETCHES, 0)
                 flat = flat.filter(pa.array(np.repeat(count > 0, SKETCHES)))
@@ -240,7 +288,7 @@ def _pairs(df: DataFrame) -> DataFrame:
 def links(docs: DataFrame, sk: DataFrame, text: str = "text") -> DataFrame:
     """Verified pairs (a, b, similarity) of text keys, for sketches of docs."""
     one = settle(sk.where("n_shingles > 0").groupBy("tid").agg(F.first("sk").alias("sk"), F.first("fp").alias("fp")))
-    bands = one.select("tid", F.posexplode("sk").alias("j", "key"))
+    bands = one.select("tid", F.octet_length("fp").alias("wide"), F.posexplode("sk").alias("j", "key"))
     # groups, masses and hubs are written, so that joins with them can split a large group's rows
     many = settle(bands.groupBy("j", "key").agg(F.count("*").alias("size")).where("size > 1"))
     member = settle(bands.join(many, ["j", "key"]))
@@ -260,28 +308,35 @@ def links(docs: DataFrame, sk: DataFrame, text: str = "text") -> DataFrame:
 def _cross(member: DataFrame, one: DataFrame, label: DataFrame, most: int | None) -> DataFrame:
     """Pairs (x, y) of texts that share a group but not a component, and whose buckets may align.
 
-    In groups of over SMALL texts, for each text outside of the largest
-    component the `most` texts by the number of sketches shared, or all; such a
-    group is dealt in pairs of blocks of about BLOCK texts, so that all of its
-    pairs meet but no task holds them all.
+    In groups of over SMALL texts or SMALL_BYTES of buckets, for each text outside
+    of the largest component the `most` texts by the number of sketches shared, or
+    all; such a group is dealt in pairs of blocks of about BLOCK texts and BLOCK_BYTES,
+    so that all of its pairs meet but no task holds them all.
     """
     named = member.join(label.withColumnRenamed("node", "tid"), "tid", "left").withColumn("label", F.coalesce("label", "tid"))
     group = ["j", "key"]
-    open_ = settle(named.groupBy(*group).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(*group))
+    open_ = settle(named.groupBy(*group).agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum("wide").alias("bytes")).where("lo <> hi").select(*group, "bytes"))
     left = settle(named.join(open_, group).join(one, "tid"))
-    few = left.where(F.col("size") <= SMALL).select(*group, "tid", "label", "fp")
+    joined = (F.col("size") <= SMALL) & (F.col("bytes") <= SMALL_BYTES)
+    few = left.where(joined).select(*group, "tid", "label", "fp")
     other = few.select(*group, F.col("tid").alias("y"), F.col("label").alias("ly"), F.col("fp").alias("fy"))
     met = few.join(other, group).where((F.col("tid") < F.col("y")) & (F.col("label") != F.col("ly"))).select(F.col("tid").alias("x"), "y", "fp", "fy")
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BUCKETS) for k in (2, 3))
-            ok = pa.array(may_align(a, b))
+            a, b = (batch.column(k).to_pylist() for k in (2, 3))
+            wide = np.array([[len(x), len(y)] for x, y in zip(a, b, strict=True)]).reshape(-1, 2)
+            ok = np.zeros(len(a), bool)
+            for m, n in np.unique(wide, axis=0).tolist():
+                at = np.flatnonzero((wide == (m, n)).all(axis=1))
+                x, y = (np.frombuffer(b"".join(c[i] for i in at.tolist()), np.uint8).reshape(len(at), -1) for c in (a, b))
+                ok[at] = may_align(x, y)
+            ok = pa.array(ok)
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(ok) for k in (0, 1)], names=["x", "y"])
 
     by_all = met.mapInArrow(bound, "x binary, y binary")
-    n = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = left.where(F.col("size") > SMALL).withColumn("block", F.pmod(F.xxhash64("tid"), n).cast("int"))
+    n = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int")
+    dealt = left.where(~joined).withColumn("block", F.pmod(F.xxhash64("tid"), n).cast("int"))
     dealt = dealt.withColumn("to", F.explode(F.sequence(F.lit(0), n - 1)))
     dealt = dealt.select("tid", "label", "sk", "fp", *group, "block", F.least("block", "to").alias("p"), F.greatest("block", "to").alias("q"))
 
@@ -289,25 +344,19 @@ def _cross(member: DataFrame, one: DataFrame, label: DataFrame, most: int | None
         import pandas as pd
 
         tid, lab, sk = pdf["tid"].to_numpy(), pd.factorize(pdf["label"])[0], np.stack(pdf["sk"].to_numpy())
-        fp = np.frombuffer(b"".join(pdf["fp"]), np.uint8).reshape(-1, BUCKETS)
+        bounds = Bounds(pdf["fp"].tolist())
         block, apart = pdf["block"].to_numpy(), bool(pdf["p"].iloc[0] != pdf["q"].iloc[0])
         inside = lab == np.bincount(lab).argmax()
         own = int(pdf["j"].iloc[0])
-        total = fp.sum(axis=1, dtype=np.int64)
-        full = fp.max(axis=1) == 255
         out = []
         for i in np.flatnonzero(~inside):
             # each pair once, in the first group that it shares
             ok = (lab != lab[i]) & (inside | (np.arange(len(lab)) > i))
             if apart:
                 ok &= block != block[i]
-            if not full[i]:
-                ok &= full | (np.minimum(total, total[i]) >= THRESHOLD * np.maximum(total, total[i]) - 1e-6)
             at = np.flatnonzero(ok)
-            same = sk[at] == sk[i]
-            at, same = at[~same[:, :own].any(axis=1)], same[~same[:, :own].any(axis=1)]
-            fit = may_align(fp[at], fp[i][None])
-            at, same = at[fit], same[fit].sum(axis=1)
+            at = bounds.fit(i, at[~(sk[at, :own] == sk[i, :own]).any(axis=1)])
+            same = (sk[at] == sk[i]).sum(axis=1)
             if most is not None and len(at) > most:
                 at = at[np.argsort(-same, kind="stable")[:most]]
             out.append((np.full(len(at), i), at))

@@ -476,7 +476,7 @@ def test_pairs_with_few_shared_sketches_are_tried(spark, size):
     one = copies.sketches(df).drop("n_shingles")
     ids = {r["doc_id"]: bytes(r["tid"]) for r in one.collect()}
     one = one.drop("doc_id")
-    bands = one.select("tid", F.posexplode("sk").alias("j", "key"))
+    bands = one.select("tid", F.octet_length("fp").alias("wide"), F.posexplode("sk").alias("j", "key"))
     member = bands.join(bands.groupBy("j", "key").count().where("count > 1").drop("count"), ["j", "key"]).withColumn("size", F.lit(size).cast("long"))
     none = spark.createDataFrame([], "node binary, label binary")
     got = {frozenset((bytes(r["x"]), bytes(r["y"]))) for r in copies._cross(member, one, none, copies.TRIES[-1]).collect()}
@@ -491,6 +491,49 @@ def test_a_line_repeated_many_times(spark):
     assert copies.aligned(a, b) and got == {1: 1, 2: 1, 3: 3}
 
 
+def _edited(rng, n_texts, n_words, kept):
+    """Texts of which each keeps that share of the words of one, in runs."""
+    base = [f"b{i}" for i in range(n_words)]
+    out = []
+    for k in range(n_texts):
+        own = base.copy()
+        for at in range(0, n_words, 50):
+            if rng.random() > kept:
+                own[at : at + 50] = [f"t{k}x{j}" for j in range(len(own[at : at + 50]))]
+        out.append(" ".join(own))
+    return out
+
+
+@pytest.mark.parametrize("n_words", [1_000, 5_000, 20_000])
+def test_bounds_of_long_texts(n_words):
+    """Texts that resemble each other are told apart whatever their length, and near copies are not."""
+    texts = _edited(np.random.default_rng(5), 24, n_words, 0.77)
+    texts += [t.rsplit(" ", n_words // 40)[0] for t in texts[:6]] + [t.rsplit(" ", n_words // 10)[0] for t in texts[6:12]]
+    data = [x.encode() for x in texts]
+    fp = copies.buckets(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in data])]))
+    assert len({len(x) for x in fp}) <= 2 and 4 * max(map(len, fp)) >= n_words - 4
+    bounds, own = copies.Bounds(fp), [copies.kmers(t) for t in texts]
+    fit = {(i, j) for i in range(len(fp)) for j in bounds.fit(i, np.arange(len(fp))).tolist()}
+    near = {(i, j) for i in range(len(fp)) for j in range(len(fp)) if copies.aligned(own[i], own[j])}
+    assert len(near) >= len(fp) + 24 and near <= fit and len(fit - near) < 0.02 * len(fp) ** 2
+
+
+def test_long_texts_that_resemble_each_other(spark):
+    """Of a group of long texts few pairs are aligned, and no link is lost."""
+    rng = np.random.default_rng(6)
+    texts = _edited(rng, 80, 5_000, 0.77)
+    texts += [t.rsplit(" ", 300)[0] for t in texts[:10]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    one = copies.sketches(df).drop("n_shingles")
+    ids = {bytes(r["tid"]): r["doc_id"] for r in one.collect()}
+    member = one.select("tid", F.octet_length("fp").alias("wide"), F.lit(0).alias("j"), F.lit(1).cast("long").alias("key"), F.lit(90).cast("long").alias("size"))
+    apart = one.drop("doc_id").withColumn("sk", F.transform("sk", lambda x: F.xxhash64("tid", x)))
+    got = {frozenset((ids[bytes(r["x"])], ids[bytes(r["y"])])) for r in copies._cross(member, apart, spark.createDataFrame([], "node binary, label binary"), None).collect()}
+    assert {frozenset((i, 80 + i)) for i in range(10)} <= got and len(got) < 0.05 * 90 * 89 / 2
+    classes = {r["doc_id"]: r["class_id"] for r in copies.classes(df).collect()}
+    assert classes == {i: i if i < 80 else i - 80 for i in range(90)}
+
+
 def test_order_counts():
     a = copies.kmers(PROSE)
     assert copies.aligned(a, a) == 1.0
