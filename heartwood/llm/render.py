@@ -9,7 +9,10 @@ indents, preformatted text as it is, and table cells aligned in columns.
 
 Defined cases: null and empty pages give the empty text; markup never closed
 ends with the page; unmatched end tags are ignored; elements nested deeper than
-DEPTH are laid out at that depth, with their text; extra columns pass through.
+DEPTH are laid out at that depth, with their text; cells of a table beyond COLUMNS
+columns, and of columns that would begin beyond ALIGNED characters, follow the
+cell before them two spaces on, whole; extra columns pass through. So the work on
+a table, and its padding, are in proportion to its cells and lines.
 """
 
 from __future__ import annotations
@@ -20,14 +23,15 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import others, strings
+from .common import others, raw, steps, strings
 
-DEPTH = 256
+DEPTH, COLUMNS, ALIGNED = 256, 1000, 512
 _names = lambda s: frozenset(s.split())
 VOID = _names("area base br col embed hr img input link meta param source track wbr")
 #: Content taken as it is up to the end tag; of the second, character references count.
@@ -351,10 +355,12 @@ def _table(el: Element, visible: bool, pre: bool) -> list[str]:
 
     gather(el, visible)
     grid: list[dict[int, tuple[list[str], int]]] = []
-    taken: dict[int, int] = {}  # column -> rows that a cell above still covers
-    for tr, see in rows:
+    until = np.zeros(COLUMNS, np.int64)  # of each column, the row that cells above no longer cover
+    low = 0  # no column is covered from this row on
+    for at, (tr, see) in enumerate(rows):
         line: dict[int, tuple[list[str], int]] = {}
-        col, new = 0, {}
+        col = 0
+        free = np.flatnonzero(until <= at) if low > at else None
         for k in tr.kids:
             if isinstance(k, str):
                 if k.strip() and see:
@@ -363,28 +369,30 @@ def _table(el: Element, visible: bool, pre: bool) -> list[str]:
             shown, vis = _shown(k)
             if not shown:
                 continue
-            while taken.get(col, 0) > 0:
-                col += 1
+            if free is not None and col < COLUMNS:
+                i = int(np.searchsorted(free, col))
+                col = int(free[i]) if i < len(free) else COLUMNS
             inner = Lines()
             _lay(k, inner, see if vis is None else vis == "visible", pre)
             a = k.attributes()
             span, down = _number(a, "colspan", 1000), _number(a, "rowspan", 65534)
             line[col] = inner.finish(), span
-            for c in range(col, col + span):
-                if down > 1:
-                    new[c] = down - 1
+            if down > 1:
+                until[col : col + span] = at + down
+                low = max(low, at + down)
             col += span
-        taken = {c: n - 1 for c, n in taken.items() if n > 1} | new
         grid.append(line)
     width: dict[int, int] = {}
     for line in grid:
         for c, (cell, span) in line.items():
-            if span == 1:
+            if span == 1 and c < COLUMNS:
                 width[c] = max(width.get(c, 0), *(len(x) for x in cell), 0)
     out = [x for cap, see in captions for x in _box(cap, see, pre)] + loose.finish()
-    columns = sorted({c for line in grid for c in line} | set(width))
+    columns = sorted({c for line in grid for c in line if c < COLUMNS})
     place, x = {}, 0
     for c in columns:
+        if x > ALIGNED:
+            break
         place[c] = x
         x += width.get(c, 0) + 2 if width.get(c, 0) else 0
     for line in grid:
@@ -393,7 +401,7 @@ def _table(el: Element, visible: bool, pre: bool) -> list[str]:
             for c in sorted(line):
                 cell = line[c][0]
                 if i < len(cell) and cell[i]:
-                    pad = max(place[c] - used, 2 if used else 0)
+                    pad = max(place.get(c, 0) - used, 2 if used else 0)
                     parts.append(" " * pad + cell[i])
                     used += pad + len(cell[i])
             out.append("".join(parts))
@@ -424,8 +432,8 @@ def render_pages(pages: DataFrame, html: str = "html", keep: list[str] | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for i, j in steps(raw(strings(whole, len(kept)))[1]):
+                batch = whole.slice(i, j - i)
                 out = [render(t) for t in strings(batch, len(kept)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(out, pa.string())], names=[*kept, name])
 

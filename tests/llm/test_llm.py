@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -276,6 +277,19 @@ def test_render(page, text):
     assert render.render(page or "") == text
 
 
+def test_tables_of_wide_and_tall_cells():
+    """Time and padding follow a table's cells, whatever they span; no text is lost."""
+    hostile = "<table><tr>" + "<td rowspan=65534 colspan=1000>x" * 200 + "<tr><td>y" * 200 + "</table>"
+    tall = "<table><tr>" + "".join(f"<td rowspan={60_000 - i}>x" for i in range(900)) + "<tr><td>y<td>z" * 20_000 + "</table>"
+    many = "<table>" + "<tr>" + "<td>" + "<td>".join(f"cell{i:05}" for i in range(3_000)) + "<tr><td colspan=999>a<td>b" * 2_000 + "</table>"
+    for page, found in ((hostile, "x" * 200 + "y" * 200), (tall, "x" * 900 + "yz" * 20_000), (many, "".join(f"cell{i:05}" for i in range(3_000)) + "ab" * 2_000)):
+        start = time.perf_counter()
+        out = render.render(page)
+        assert "".join(out.split()) == found and len(out) < 4 * len(page)
+        assert time.perf_counter() - start < 1 + len(page) / 200_000
+    assert render.render("<table><tr><td rowspan=3>a<td>b<td rowspan=2>c<tr><td>d<td>e<tr><td colspan=2>f<td>g</table>") == "a  b  c\n   d     e\n   f     g"
+
+
 def test_render_deep_and_whole(spark, sf):
     assert render.render("<div>" * 5000 + "x" + "<p>y") .split() == ["x", "y"]
     for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
