@@ -6,7 +6,8 @@ one or more such trees: every shared turn once, depth first, with a position
 one) and the intervals of the pack that it may attend to (its ancestors, and
 itself up to each token). Conversations are sorted by the path of hashes of
 their turns, so those that share turns are neighbours; packs are cut from the
-sorted rows and are bounded, which bounds memory. A turn shared across packs is
+sorted rows and are bounded, by characters and by 4,096 conversations, which bounds
+memory. A turn shared across packs is
 repeated once in each. Equal conversations sort by their ids after the path, so
 no key gathers in one task.
 

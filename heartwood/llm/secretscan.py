@@ -331,19 +331,19 @@ def templates(texts: list[str], rng: np.random.Generator, count: int = 700) -> l
 SAMPLE, SAMPLE_CHARS = 1000, 20_000
 
 
-def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE, most_chars: int = SAMPLE_CHARS) -> Field:
+def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE, most_chars: int = SAMPLE_CHARS, most: int = SEEN, reach: int = REACH, other: int = OTHER) -> Field:
     """A field trained on the sample of documents with the smallest hashes of their texts.
 
-    The sample's bounds are sample and most_chars; see train() for what is learned from each text.
+    The sample's bounds are sample and most_chars; most, reach and other say what train() learns from each text.
     """
     own = docs.select(F.col(text).alias("t")).where(F.col("t").isNotNull() & (F.length("t") <= most_chars))
     # hashes first, so that tasks send numbers to be ranked and the driver gets the sample's texts alone
     hashed = own.withColumn("h", F.xxhash64("t"))
-    most = hashed.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    if most is None:
-        return train([])
-    rows = hashed.where(F.col("h") <= most).groupBy("h").agg(F.first("t").alias("t")).orderBy("h").collect()
-    return train([r["t"] for r in rows])
+    last = hashed.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    if last is None:
+        return train([], most=most, reach=reach, other=other)
+    rows = hashed.where(F.col("h") <= last).groupBy("h").agg(F.first("t").alias("t")).orderBy("h").collect()
+    return train([r["t"] for r in rows], most=most, reach=reach, other=other)
 
 
 def _uncovered(text: str, lo: int, hi: int, starts: list[int], ends: list[int]) -> Iterator[tuple[int, int]]:

@@ -591,6 +591,15 @@ def test_field(docs):
     assert secretscan.redact(text, secretscan.base_spans(text), "#") == 'x token = "#" y'
 
 
+def test_what_is_learned_from_is_a_parameter(spark):
+    rows = [(i, f"alpha{i} beta gamma password = hunter{i}secret{i}xyz delta epsilon") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    whole, narrow = secretscan.fit(df), secretscan.fit(df, most=1, reach=2, other=1)
+    same = secretscan.train([t for _, t in sorted(rows, key=lambda r: r[0])], most=1, reach=2, other=1)
+    assert any((whole.weights[k] != narrow.weights[k]).any() for k in whole.weights)
+    assert {k: v.shape for k, v in same.weights.items()} == {k: v.shape for k, v in narrow.weights.items()}
+
+
 def test_rest_of_a_secret_is_added():
     text = 'é password: "abcdef123456$Xy!z" and'
     base = secretscan.base_spans(text)
