@@ -116,16 +116,23 @@ def from_documents(docs: DataFrame) -> DataFrame:
 
 
 def find(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(repo, node_id, kind, node_hash) of nodes wanted (repo, node_id), found along their paths in nested trees; absent ones give no row."""
-    front = wanted.select("repo", "node_id").distinct().join(docs.select("repo", "doc"), "repo").select("repo", F.col("node_id").alias("want"), "doc")
-    out = None
+    """(repo, node_id, kind, node_hash) of nodes wanted (repo, node_id), found along their paths in nested trees; absent ones give no row.
+
+    A tree's nodes are taken apart once, whatever number of wanted ones lies below them, and only where some do.
+    """
+    want = cut(wanted.select("repo", "node_id").distinct())
+    parts = F.split("node_id", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    along = cut(want.select("repo", F.explode(above).alias("child")).distinct())
+    front = docs.select("repo", "doc").join(want.select("repo").distinct(), "repo", "left_semi")
+    out, top = None, True
     while True:
-        level = cut(front.select("repo", "want", F.from_json("doc", NODE).alias("n")).where("n.node_id IS NOT NULL").select("repo", "want", "n.*"))
-        hit = level.where("node_id = want").select("repo", "node_id", "kind", "node_hash")
+        level = cut(front.select("repo", F.from_json("doc", NODE).alias("n")).where("n.node_id IS NOT NULL").select("repo", "n.*"))
+        hit = level.join(want, ["repo", "node_id"], "left_semi").select("repo", "node_id", "kind", "node_hash")
         out = hit if out is None else out.unionByName(hit)
-        on = level.where("node_id <> want")
-        if on.isEmpty():
+        if level.isEmpty():
             return out
-        child = F.get_json_object("doc", "$.node_id")
-        kids = on.select("repo", "want", F.explode("children").alias("doc"))
-        front = kids.where((child == F.col("want")) | F.startswith(F.col("want"), F.concat(child, F.lit("/"))))
+        kids = level.select("repo", "node_id", F.explode("children").alias("doc")).withColumn("child", F.get_json_object("doc", "$.node_id"))
+        # a root has any id, other nodes' children lie below them
+        below = F.col("child") != F.col("node_id") if top else F.startswith("child", F.concat("node_id", F.lit("/")))
+        front, top = kids.where(below).join(along, ["repo", "child"], "left_semi").select("repo", "doc"), False

@@ -103,6 +103,29 @@ def test_trees_as_documents(spark):
     want = spark.createDataFrame([("r", "d/e/f"), ("r", "d/e/f/g/h/deep"), ("r", "d/e/no"), ("r", "."), ("s", "d"), ("t", ".")], "repo string, node_id string")
     assert {(x["repo"], x["node_id"], x["kind"]) for x in tree.find(docs, want).collect()} == {("r", "d/e/f", "folder"), ("r", "d/e/f/g/h/deep", "leaf"), ("r", ".", "project")}
     assert tree.to_documents(nodes.limit(0)).count() == 0 and tree.from_documents(docs.limit(0)).count() == 0
+    assert tree.find(docs, want.limit(0)).count() == 0 and tree.find(docs.limit(0), want).count() == 0
+
+
+def test_nodes_found_without_a_tree_for_each(spark):
+    leaves = spark.range(3000).selectExpr("'r' AS repo", "concat('d', id % 7, '/', id) AS path", "cast(id AS string) AS blob_sha")
+    docs = tree.to_documents(tree.node_hashes(leaves))
+    size = docs.selectExpr("max(length(doc)) AS n").first()["n"]
+    want = leaves.selectExpr("repo", "path AS node_id").union(leaves.selectExpr("repo", "concat(path, 'x')")).union(leaves.selectExpr("repo", "split(path, '/')[0]"))
+    written, own = [], tree.cut
+
+    def watched(df):
+        out = own(df)
+        if "children" in out.columns:
+            written.append(out.selectExpr("coalesce(sum(length(array_join(children, ''))), 0) AS n").first()["n"])
+        return out
+
+    tree.cut = watched
+    try:
+        got = tree.find(docs, want)
+    finally:
+        tree.cut = own
+    assert got.count() == 3007 and got.where("kind = 'leaf'").select("node_id").distinct().count() == 3000
+    assert len(written) == 4 and sum(written) < 3 * size
 
 
 def test_postings(spark):
