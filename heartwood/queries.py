@@ -396,7 +396,7 @@ def _verilog(spark: SparkSession, sf: str) -> DataFrame:
         "// part %d, no endmodule here\nmodule m%d #(parameter W = %d) (input wire [W-1:0] a, b, output reg signed [2*W-1:0] y);\n  assign z = a;\n  always @(posedge a) y <= %s;\n  sub%d #(.W(W)) u_%d (a, b);\nendmodule\n",
         i, i, n, F.when(i % 2 == 0, "a * b").otherwise("a + b[2*W-1]"), n, i,
     )
-    return table(spark, sf, "part").select(i.alias("id"), code.alias("code"))
+    return corpus.dealt(table(spark, sf, "part").select("p_partkey", "p_size")).select(i.alias("id"), code.alias("code"))
 
 
 @query("""SELECT p_partkey AS id, 'm'||CAST(p_partkey AS VARCHAR) AS module, 1 AS always_blocks, 1 AS assigns, p_partkey%2=0 AS infers_multiplier,

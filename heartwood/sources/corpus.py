@@ -14,6 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows in as many tasks as there are shuffle partitions: for work a row that takes far longer than its bytes on disk, by which a scan deals them, suggest."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(repo, path, text, doc_id, source): every document as a file."""
     i = F.col("doc_id")

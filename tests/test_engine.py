@@ -355,3 +355,10 @@ def test_one_ceiling_over_many_ranges(spark):
     for ceiling in (0.0, 100.25, 1e6):
         assert pick(budget.admit_all(rows, "cost", ceiling, order, parts=7)) == pick(budget.admit(rows, "cost", ceiling, order))
     assert budget.admit_all(rows.limit(0), "cost", 1.0, order).count() == 0
+
+
+@pytest.mark.parametrize("name", ["lateral_modules", "processed_files", "verilog_modules", "verilog_multiplier", "verilog_ports", "verilog_symbols"])
+def test_sources_of_one_small_file_are_dealt_to_tasks(spark, sf, name):
+    from heartwood.queries import QUERIES
+
+    assert QUERIES[name](spark, sf).select(F.spark_partition_id().alias("p")).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
