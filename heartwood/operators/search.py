@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.state import cut
 
@@ -47,17 +51,57 @@ def bm25(docs: DataFrame, query: str, key: str = "id", weights: dict[str, float]
     return both.select(key, (-score).alias("rank"))
 
 
+#: Rows whose words one vectorised step groups.
+STEP_ROWS = 1000
+
+
+def _held(words: DataFrame, weights: list[float] | None = None) -> DataFrame:
+    """(term, key, at) of rows (key, words), each row's words grouped where it is read; with weights, of rows (key, words, ...) with a list of words for each, (term, key, freq)."""
+    key = words.schema.fields[0]
+    value = T.StructField("at", T.ArrayType(T.IntegerType())) if weights is None else T.StructField("freq", T.DoubleType())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, STEP_ROWS):
+                batch = whole.slice(i, STEP_ROWS)
+                lists = batch.columns[1:]
+                sizes = [np.diff(c.offsets.to_numpy()) for c in lists]
+                row = np.concatenate([np.repeat(np.arange(batch.num_rows), n) for n in sizes])
+                coded = pa.concat_arrays([c.flatten() for c in lists]).dictionary_encode()
+                code = coded.indices.to_numpy()
+                group = row * max(len(coded.dictionary), 1) + code
+                order = np.argsort(group, kind="stable")
+                first = np.flatnonzero(np.diff(group[order], prepend=-1))
+                if weights is None:
+                    at = (np.arange(len(row)) - (np.cumsum(sizes[0]) - sizes[0])[row])[order]
+                    each = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), pa.array(at.astype(np.int32)))
+                else:
+                    each = pa.array(np.add.reduceat(np.repeat(np.array(weights, float), [n.sum() for n in sizes])[order], first) if len(first) else np.zeros(0))
+                one = order[first]
+                yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(code[one])), batch.column(0).take(pa.array(row[one])), each], names=["term", key.name, value.name])
+
+    return words.mapInArrow(run, T.StructType([T.StructField("term", T.StringType()), key, value]))
+
+
+def _words(column: str) -> Column:
+    return F.array_remove(F.split(F.lower(F.coalesce(F.col(column), F.lit(""))), SEPARATORS), "")
+
+
+def _by_term(held: DataFrame, keys: DataFrame, value: Column, key: str) -> DataFrame:
+    """A row for each term and key, every file sorted by them: a row's terms stay with the task that read it. Only where several rows have one key are they shuffled, and put together."""
+    if not keys.groupBy(key).count().where("count > 1").isEmpty():
+        held = held.repartitionByRange("term", key).groupBy("term", key).agg(value)
+    return cut(held.sortWithinPartitions("term", key))
+
+
 def index(docs: DataFrame, key: str = "id", weights: dict[str, float] = WEIGHTS) -> tuple[DataFrame, DataFrame]:
     """(term, key, freq) and (key, len) of all rows, written once for any number of queries.
 
-    The first is sorted by term, so that a query reads the row groups of its terms.
+    Each file of the first is sorted by term, so that a query reads the pages of its terms.
     """
-    split = lambda c: F.array_remove(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), SEPARATORS), "")
-    each = docs.select(key, *(split(c).alias(f"t_{c}") for c in weights))
+    each = docs.select(key, *(_words(c).alias(f"t_{c}") for c in weights))
     lengths = cut(each.select(key, reduce(lambda a, b: a + b, (F.size(f"t_{c}") for c in weights)).alias("len")))
-    parts = F.concat(*(F.transform(f"t_{c}", lambda t: F.struct(t.alias("term"), F.lit(w).alias("w"))) for c, w in weights.items()))
-    counted = each.select(key, F.explode(parts).alias("x")).groupBy(key, "x.term").agg(F.sum("x.w").alias("freq"))
-    return cut(counted.repartitionByRange("term", key).sortWithinPartitions("term", key)), lengths
+    return _by_term(_held(each, list(weights.values())), docs.select(key), F.sum("freq").alias("freq"), key), lengths
 
 
 def lookup(terms_of: DataFrame, lengths: DataFrame, query: str, key: str = "id") -> DataFrame:
@@ -80,11 +124,9 @@ def page(ranked: DataFrame, key: str = "id", limit: int = 20, offset: int = 0) -
 
 
 def postings(docs: DataFrame, column: str, key: str = "id") -> DataFrame:
-    """(term, key, at): where each term of a column stands, written once and sorted by term, so that a query reads its terms' row groups."""
-    words = F.array_remove(F.split(F.lower(F.coalesce(F.col(column), F.lit(""))), SEPARATORS), "")
-    each = docs.select(key, F.posexplode(words).alias("at", "term"))
-    held = each.groupBy("term", key).agg(F.sort_array(F.collect_list("at")).alias("at"))
-    return cut(held.repartitionByRange("term", key).sortWithinPartitions("term", key))
+    """(term, key, at): where each term of a column stands, written once in files sorted by term, so that a query reads its terms' pages."""
+    held = _held(docs.select(key, _words(column).alias("words")))
+    return _by_term(held, docs.select(key), F.sort_array(F.flatten(F.collect_list("at"))).alias("at"), key)
 
 
 def with_term(index: DataFrame, term: str, key: str = "id") -> DataFrame:

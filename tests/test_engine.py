@@ -362,3 +362,18 @@ def test_sources_of_one_small_file_are_dealt_to_tasks(spark, sf, name):
     from heartwood.queries import QUERIES
 
     assert QUERIES[name](spark, sf).select(F.spark_partition_id().alias("p")).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_indexes_shuffle_terms_only_where_rows_share_a_key(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(search, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    docs = spark.createDataFrame([(1, "a b a", "x"), (1, "B", "a"), (2, None, ""), (3, "c", "b b")], "id int, name string, content string")
+    held = {(r["term"], r["id"]): r["at"] for r in search.postings(docs, "name").collect()}
+    assert held == {("a", 1): [0, 2], ("b", 1): [0, 1], ("c", 3): [0]}
+    terms, lengths = search.index(docs, weights={"name": 10.0, "content": 1.0})
+    assert {(r["term"], r["id"]): r["freq"] for r in terms.collect()} == {("a", 1): 21.0, ("b", 1): 20.0, ("x", 1): 1.0, ("c", 3): 10.0, ("b", 3): 2.0}
+    assert sorted((r["id"], r["len"]) for r in lengths.collect()) == [(1, 2), (1, 4), (2, 0), (3, 3)]
+    assert [p.count("Exchange range") for p in plans] == [1, 0, 1] and not any("Exchange hash" in p for p in plans)
+    plans.clear()
+    assert search.postings(docs.where("id > 1"), "name").count() == 1 and not any(x in plans[-1] for x in ("Aggregate", "Exchange"))
+    assert search.postings(docs.limit(0), "name").count() == 0 and search.index(docs.where("id = 2"), weights={"name": 1.0})[0].count() == 0
