@@ -20,8 +20,9 @@ def ancestors(edges: DataFrame, starts: DataFrame) -> DataFrame:
     own = edges.select("sha", "parent")
     while not front.isEmpty():
         step += 1
-        up = front.join(own, "sha").select("start", F.col("parent").alias("sha")).where("sha IS NOT NULL").distinct()
-        front = cut(up.join(seen.select("start", "sha"), ["start", "sha"], "left_anti").withColumn("distance", F.lit(step)))
+        # never broadcast: a small frontier on disk would pass through the driver at each step
+        up = front.join(own.hint("merge"), "sha").select("start", F.col("parent").alias("sha")).where("sha IS NOT NULL").distinct()
+        front = cut(up.join(seen.select("start", "sha").hint("merge"), ["start", "sha"], "left_anti").withColumn("distance", F.lit(step)))
         old, seen = seen, cut(seen.unionByName(front))
         if step > 1:
             release(old)

@@ -377,3 +377,19 @@ def test_indexes_shuffle_terms_only_where_rows_share_a_key(spark, monkeypatch):
     plans.clear()
     assert search.postings(docs.where("id > 1"), "name").count() == 1 and not any(x in plans[-1] for x in ("Aggregate", "Exchange"))
     assert search.postings(docs.limit(0), "name").count() == 0 and search.index(docs.where("id = 2"), weights={"name": 1.0})[0].count() == 0
+
+
+def test_frontiers_of_ancestors_are_not_broadcast(spark, monkeypatch):
+    from heartwood.operators import history
+
+    plans, own = [], history.cut
+
+    def watched(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return own(df)
+
+    monkeypatch.setattr(history, "cut", watched)
+    edges = spark.createDataFrame([("d", "b"), ("d", "c"), ("c", "a"), ("b", "a")], "sha string, parent string")
+    got = history.ancestors(edges, spark.createDataFrame([("d", "d"), ("b", "b")], "start string, sha string"))
+    assert {tuple(r) for r in got.collect()} == {("d", "d", 0), ("d", "b", 1), ("d", "c", 1), ("d", "a", 2), ("b", "b", 0), ("b", "a", 1)}
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
