@@ -244,6 +244,38 @@ def test_passages_beside_a_common_core(spark):
     assert not lost, lost
 
 
+def test_passages_of_repeated_lines(spark):
+    """Every word of a passage of 50 words that two texts hold is found, also where both repeat its lines elsewhere."""
+    rng = np.random.default_rng(23)
+    rows = []
+    for p in range(12):
+        lines = [[f"p{p}l{k}w{j}" for j in range(int(n))] for k, n in enumerate(rng.integers(5, 60, 6))]
+        for side in range(2):
+            parts = [lines[i] if rng.random() < 0.8 else [f"x{rng.integers(1 << 40)}" for _ in range(9)] for i in rng.integers(0, 6, 25)]
+            rows.append((2 * p + side, " ".join(w for x in parts for w in x)))
+    held = collections.defaultdict(set)
+    w = {d: t.split() for d, t in rows}
+    for d, x in w.items():
+        for i in range(len(x) - 49):
+            held[tuple(x[i : i + 50])].add(d)
+    mine = collections.defaultdict(set)
+    for r in passages.find_passages(spark.createDataFrame(rows, "doc_id int, text string")).collect():
+        mine[r["doc_id"]].update(range(r["word_start"], r["word_end"]))
+    lost = {(d, k) for d, x in w.items() for i in range(len(x) - 49) if len(held[tuple(x[i : i + 50])]) > 1 for k in range(i, i + 50) if k not in mine[d]}
+    assert not lost, len(lost)
+
+
+def test_passages_around_a_shingle_from_elsewhere():
+    """One match far away does not part a passage; nor do many repeats keep one from being found."""
+    s = np.random.default_rng(29).integers(1, 2**62, 400, dtype=np.uint64)
+    a, b = s[:60].copy(), np.concatenate([s[:60], s[100:200]])
+    a[30] = b[120]
+    assert [f[:4] for f in passages.common_passages(passages.Prepared(a), passages.Prepared(b))] == [(0, 60, 0, 60)]
+    a, b = np.tile(s[:30], 200), np.tile(s[:30], 150)
+    found = passages.common_passages(passages.Prepared(a), passages.Prepared(b))
+    assert len(found) < 10 and {k for f in found for k in range(f[0], f[1])} == set(range(len(a))) and {k for f in found for k in range(f[2], f[3])} == set(range(len(b)))
+
+
 # --- pages
 
 
