@@ -276,6 +276,20 @@ def test_passages_around_a_shingle_from_elsewhere():
     assert len(found) < 10 and {k for f in found for k in range(f[0], f[1])} == set(range(len(a))) and {k for f in found for k in range(f[2], f[3])} == set(range(len(b)))
 
 
+def test_passages_whole_beside_many_repeats():
+    """A passage is found whole where over a thousand runs of a line's repeats lie beside it, and in blocks as at once."""
+    s = np.random.default_rng(31).integers(1, 2**62, 400, dtype=np.uint64)
+    line = np.tile(s[:10], 600)
+    a = np.concatenate([line, s[20:70], s[80:85], s[90:102], s[110:160]])
+    b = np.concatenate([s[200:260], s[20:70], s[300:305], s[90:102], s[310:360], line])
+    found = passages.common_passages(passages.Prepared(a), passages.Prepared(b))
+    assert (6000, 6067, 60, 127) in [f[:4] for f in found]
+    words = lambda found, k: {w for f in found for w in range(f[k], f[k + 1])}
+    blocks = passages.common_passages(passages.Prepared(a), passages.Prepared(b), most=50_000)
+    assert (6000, 6067, 60, 127) in [f[:4] for f in blocks]
+    assert all(words(found, k) == words(blocks, k) for k in (0, 2))
+
+
 # --- pages
 
 
