@@ -393,3 +393,26 @@ def test_frontiers_of_ancestors_are_not_broadcast(spark, monkeypatch):
     got = history.ancestors(edges, spark.createDataFrame([("d", "d"), ("b", "b")], "start string, sha string"))
     assert {tuple(r) for r in got.collect()} == {("d", "d", 0), ("d", "b", 1), ("d", "c", 1), ("d", "a", 2), ("b", "b", 0), ("b", "a", 1)}
     assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
+def test_results_of_calls_are_handed_on_together():
+    """A task's results come in a few frames, in the order of the rows, each of them once."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from heartwood.operators import calls
+
+    class Rows:
+        schema = {c: SimpleNamespace(dataType=SimpleNamespace(simpleString=lambda: "string")) for c in ("id", "text")}
+        select = lambda self, *names: self
+        mapInPandas = lambda self, run, schema: run
+
+    n = 2500
+    frame = pd.DataFrame({"id": [str(i) for i in range(n)], "text": ["" if i % 3 == 0 else f"t{i}" for i in range(n)]})
+    out = list(calls.called(Rows(), lambda text: text, ("text",), ("id",), workers=3)(iter([frame[:1000], frame[1000:]])))
+    assert len(out) == 3
+    rows = pd.concat(out).to_numpy().tolist()
+    assert rows == [[str(i), None, "empty answer"] if i % 3 == 0 else [str(i), f"t{i}", None] for i in range(n)]
+    assert len(list(calls.called(Rows(), lambda text: text * calls.TOGETHER_CHARS, ("text",), ("id",))(iter([frame[1:3]])))) == 2
+    assert list(calls.called(Rows(), lambda text: text, ("text",), ("id",))(iter([frame[:0]]))) == []
