@@ -290,6 +290,34 @@ def test_passages_whole_beside_many_repeats():
     assert all(words(found, k) == words(blocks, k) for k in (0, 2))
 
 
+def test_passages_are_parted_once(monkeypatch):
+    """Pairs that all sets of bands hold alike are looked at once; they were parted in each of the three."""
+    rng = np.random.default_rng(37)
+    s = rng.integers(1, 2**62, 400, dtype=np.uint64)
+    a, b = s[:300].copy(), np.concatenate([s[:100], s[300:320], s[100:200], s[320:340], s[200:300]])
+    calls = []
+    split = passages._split
+    monkeypatch.setattr(passages, "_split", lambda px, py, *more: calls.append((px.tobytes(), py.tobytes())) or split(px, py, *more))
+    found = passages.common_passages(passages.Prepared(a), passages.Prepared(b))
+    assert (0, 100, 0, 100) in [f[:4] for f in found] and {k for f in found for k in range(f[0], f[1])} == set(range(300))
+    assert calls and len(calls) == len(set(calls))
+
+
+def test_overlapping_spans_and_followers():
+    """Against plain counts, with spans packed as Spark packs them."""
+    rng = np.random.default_rng(41)
+    for trial in range(30):
+        n = int(rng.integers(1, 60))
+        row, k, lo = np.sort(rng.integers(0, 9, n)), rng.integers(0, 6, n), rng.integers(0, 200, n)
+        hi = lo + rng.integers(0, 30, n)
+        packed = (hi - lo) << 32 | lo << 3 | k
+        assert all((x == y).all() for x, y in zip(passages.unpacked(packed), (k, lo, hi), strict=True))
+        expect = [r for r in range(9) if any(len({q for o, q, x, y in zip(row, k, lo, hi, strict=True) if o == r and x <= at <= y}) >= 3 for at in range(230))]
+        assert passages.overlapping(row, k, lo, hi, 3).tolist() == expect
+        s = rng.integers(0, 12, n).astype(np.uint64)
+        assert passages.followers(s, row).tolist() == [next((j for j in range(i + 1, n) if s[j] == s[i] and row[j] == row[i]), n) for i in range(n)]
+
+
 # --- pages
 
 
